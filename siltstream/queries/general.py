@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from siltstream.operators import keyed_chunks
+from siltstream.operators import keyed_chunks, schema_drift
 from siltstream.session import table
+from siltstream.sources import csv_rejects
 
 BLANK_SQL = "chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)||chr(160)"
 
@@ -16,6 +17,22 @@ def p1_endpoint_states(spark, d):
     return keyed_chunks.endpoint_states(table(spark, d, "flows"))
 
 
+def p4_found(spark, d):
+    return schema_drift.schema_changes(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
+
+
+def p4_versions(spark, d):
+    return schema_drift.schema_versions(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
+
+
+def p4_consistent_table(spark, d):
+    return schema_drift.consistent_table(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
+
+
+def p5_found(spark, d):
+    return csv_rejects.rejected_lines(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
+
+
 ENDPOINTS_SQL = f"""e as (
   select 'src_ip' endpoint_role, trim(src_ip, {BLANK_SQL}) ip, row_id, flow_timestamp ts,
          coalesce(tot_fwd_pkts, 0) + coalesce(tot_bwd_pkts, 0) pk from flows where src_ip is not null
@@ -23,7 +40,45 @@ ENDPOINTS_SQL = f"""e as (
   select 'dst_ip', trim(dst_ip, {BLANK_SQL}), row_id, flow_timestamp,
          coalesce(tot_fwd_pkts, 0) + coalesce(tot_bwd_pkts, 0) from flows where dst_ip is not null)"""
 
+CATEGORY_SQL = "lower(regexp_replace(trim({0}, " + BLANK_SQL + r"), '[\s\x{{00A0}}]+', ' ', 'g'))"
+TOKEN_SQL = "lower(trim({0}, " + BLANK_SQL + "))"
+FIELDS_SQL = """list_transform(regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1),
+  lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end)"""
+_STAMP = f"trim(ts, {BLANK_SQL})"
+LINES_SQL = f"""h as (select source_file, {FIELDS_SQL} hf from raw_lines where source_line = 1),
+l as (select line_id, feed, source_file, file_seq, source_line, coalesce(raw_line, '') raw_line from raw_lines where source_line > 1),
+f as (select *, regexp_full_match(raw_line, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') formed, {FIELDS_SQL} fields from l),
+j as (select f.*, hf, case when not formed then 'quoting' when len(fields) != len(hf) then 'column_count' when fields = hf then 'repeated_header' end problem
+      from f left join h using (source_file)),
+k as (select distinct {CATEGORY_SQL.format("label")} label_key from class_by_file where class_group in ('benign', 'malicious')),
+v as (select *, fields[list_position(hf, 'Timestamp')] ts, {CATEGORY_SQL.format("fields[list_position(hf, 'Label')]")} label_key from j where problem is null),
+w as (select v.*, not (regexp_full_match({_STAMP}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')
+        and try_strptime({_STAMP}, '%d/%m/%Y %H:%M:%S') is not null) bad_ts, k.label_key is null bad_label
+      from v left join k using (label_key))"""
+_ALIASES = ", ".join(f"('{a}', '{f}')" for f, names in schema_drift.ALIASES.items() for a in names)
+_VALUE = TOKEN_SQL.format("u.value")
+DRIFT_SQL = f"""{LINES_SQL},
+a(name, field) as (values {_ALIASES}),
+hh as (select feed, source_file, file_seq, unnest(hf) name, unnest(range(1, len(hf) + 1)) pos from h join (select distinct feed, source_file, file_seq from raw_lines) using (source_file)),
+u as (select source_file, unnest(fields) as value, unnest(range(1, len(fields) + 1)) pos from w where not bad_ts and not bad_label),
+t as (select source_file, pos, max(case when regexp_full_match({_VALUE}, '[+-]?[0-9]+') then 0
+        when regexp_full_match({_VALUE}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') then 1 else 2 end) kind
+      from u where {_VALUE} not in ('', 'nan', '+nan', '-nan', 'null', 'none', 'na', 'n/a', '#n/a', '<na>')
+        and not regexp_full_match({_VALUE}, '[+-]?inf(inity)?') group by all),
+n as (select feed, source_file, file_seq, lag(source_file) over (partition by feed order by file_seq) earlier,
+        lead(source_file) over (partition by feed order by file_seq) later from (select distinct feed, source_file, file_seq from hh)),
+c as (select hh.source_file, name, coalesce(field, name) field, kind, earlier, later from hh left join a using (name) left join t using (source_file, pos) join n on n.source_file = hh.source_file),
+b as (select coalesce(x.source_file, y.later) source_file, x.name, y.name old_name, x.kind, y.kind old_kind
+      from (select * from c where earlier is not null) x full join (select * from c where later is not null) y on x.source_file = y.later and x.field = y.field)"""
+
 SQL = {
+    "p5_found": f"""with {LINES_SQL} select line_id, problem reason from j where problem is not null
+union all select line_id, 'invalid_timestamp' from w where bad_ts union all select line_id, 'invalid_label' from w where bad_label""",
+    "p4_found": f"""with {DRIFT_SQL}
+select source_file, 'added' change_kind, name field_name from b where old_name is null
+union all select source_file, 'removed', old_name from b where name is null
+union all select source_file, 'renamed', name from b where name != old_name
+union all select source_file, 'type_changed', name from b where kind != old_kind""",
     "p1_found": f"""with {ENDPOINTS_SQL}, t as (select endpoint_role, count(*) n from e group by 1)
 select endpoint_role, ip from e join t using (endpoint_role) group by endpoint_role, ip, n having count(*) * 100 >= n""",
     "p1_endpoint_states": f"""with {ENDPOINTS_SQL}, t as (select endpoint_role, count(*) n from e group by 1),
