@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from siltstream.operators import keyed_chunks, schema_drift
+from pyspark.sql import functions as F
+
+from siltstream.operators import keyed_chunks, quality_profile, schema_drift
 from siltstream.session import table
 from siltstream.sources import csv_rejects
 
+def rounded(df, places=6):
+    """Doubles rounded, as results of sums and quantiles may differ in the last digits."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 BLANK_SQL = "chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)||chr(160)"
 
 
@@ -14,7 +21,7 @@ def p1_found(spark, d):
 
 
 def p1_endpoint_states(spark, d):
-    return keyed_chunks.endpoint_states(table(spark, d, "flows"))
+    return rounded(keyed_chunks.endpoint_states(table(spark, d, "flows")))
 
 
 def p4_found(spark, d):
@@ -33,6 +40,22 @@ def p5_found(spark, d):
     return csv_rejects.rejected_lines(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
 
 
+def p6_found(spark, d):
+    return quality_profile.doubtful(table(spark, d, "flows"), table(spark, d, "data_quality_report"))
+
+
+def p6_column_profile(spark, d):
+    return quality_profile.column_profile(table(spark, d, "flows"))
+
+
+def p6_load_distances(spark, d):
+    return rounded(quality_profile.load_distances(table(spark, d, "flows")))
+
+
+def p6_measure_profile(spark, d):
+    return rounded(quality_profile.measure_profile(table(spark, d, "flows")))
+
+
 ENDPOINTS_SQL = f"""e as (
   select 'src_ip' endpoint_role, trim(src_ip, {BLANK_SQL}) ip, row_id, flow_timestamp ts,
          coalesce(tot_fwd_pkts, 0) + coalesce(tot_bwd_pkts, 0) pk from flows where src_ip is not null
@@ -71,7 +94,41 @@ c as (select hh.source_file, name, coalesce(field, name) field, kind, earlier, l
 b as (select coalesce(x.source_file, y.later) source_file, x.name, y.name old_name, x.kind, y.kind old_kind
       from (select * from c where earlier is not null) x full join (select * from c where later is not null) y on x.source_file = y.later and x.field = y.field)"""
 
+_T = TOKEN_SQL.format("x")
+_MEASURE_ROWS = " union all ".join(f"select source_file, file_date, '{c}' column_name, {c} x from flows" for c in quality_profile.MEASURES)
+MEASURES_SQL = rf"""r as ({_MEASURE_ROWS}),
+k as (select source_file, column_name, case when x is null or {_T} = '' then 'missing' when {_T} in ('nan', '+nan', '-nan') then 'nan'
+        when {_T} in ('null', 'none', 'na', 'n/a', '#n/a', '<na>') then 'null_marker'
+        when regexp_full_match({_T}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') then 'number'
+        when regexp_full_match({_T}, '[+-]?inf(inity)?') then 'infinite' else 'other' end kind, {_T} tok from r),
+m as (select *, case when kind = 'number' then tok::double end v from k),
+s as (select source_file, column_name, count(*) n_rows, count(*) filter (kind = 'missing') n_missing, count(*) filter (kind = 'null_marker') n_null_marker,
+        count(*) filter (kind = 'nan') n_nan, count(*) filter (kind = 'infinite') n_infinite, count(*) filter (kind = 'other') n_other, count(v) n_number,
+        count(*) filter (v < 0) n_negative, count(*) filter (v > 120000000) n_above_limit, min(v) least, max(v) greatest, count(distinct v) n_distinct,
+        quantile_cont(v, 0.01) q01, quantile_cont(v, 0.25) q25, quantile_cont(v, 0.5) q50, quantile_cont(v, 0.75) q75, quantile_cont(v, 0.99) q99 from m group by all),
+d as (select source_file, regexp_extract(source_file, '(site[0-9]+)', 1) site, min(file_date) dt from flows group by all),
+e as (select a.source_file, b.source_file earlier from d a join d b on a.site = b.site and a.dt = b.dt + 1)""".replace("\\\\", "\\")
+
 SQL = {
+    "p6_measure_profile": f"with {MEASURES_SQL} select * replace ({', '.join(f'round({c}, 6) as {c}' for c in ('least', 'greatest', 'q01', 'q25', 'q50', 'q75', 'q99'))}) from s",
+    "p6_found": f"""with {MEASURES_SQL},
+j as (select s.*, b.n_rows b_rows, b.n_missing + b.n_null_marker b_absent, b.q50 b_median, s.n_missing + s.n_null_marker n_absent
+      from s left join e using (source_file) left join s b on b.source_file = e.earlier and b.column_name = s.column_name),
+q as (select distinct filename source_file, column_name, nan_values, infinite_values from data_quality_report where report_scope = 'column')
+select source_file, column_name, 'nan_values' finding from s semi join (select * from q) z on z.source_file = s.source_file and z.column_name = s.column_name and z.nan_values is distinct from n_nan
+union all select source_file, column_name, 'infinite_values' from s semi join (select * from q) z on z.source_file = s.source_file and z.column_name = s.column_name and z.infinite_values is distinct from n_infinite
+union all select source_file, column_name, 'pattern' from j where n_other > 0
+union all select source_file, column_name, 'value_range' from j where n_negative > 0 or column_name = 'flow_duration' and n_above_limit > 0
+union all select source_file, column_name, 'null_rate' from j where n_absent / n_rows::double - b_absent / b_rows::double >= 0.05 - 1e-12
+union all select source_file, column_name, 'shift' from j where q50 >= 4 * b_median or q50 <= b_median / 4""",
+    "p6_load_distances": f"""with {MEASURES_SQL},
+p as (select e.source_file, c.column_name, e.earlier, v, 1 w from e join m c on c.source_file = e.source_file where v is not null
+      union all select e.source_file, c.column_name, e.earlier, v, 0 from e join m c on c.source_file = e.earlier where v is not null),
+g as (select source_file, column_name, earlier, v, sum(w) c, count(*) - sum(w) p from p group by all),
+t as (select source_file, column_name, earlier, sum(c) n, sum(p) n_earlier from g group by all),
+x as (select g.*, n, n_earlier, sum(c) over (partition by g.source_file, g.column_name order by v) / n::double - sum(p) over (partition by g.source_file, g.column_name order by v) / n_earlier::double gap
+      from g join t using (source_file, column_name, earlier))
+select source_file, column_name, earlier, n::bigint n, n_earlier::bigint n_earlier, round(max(abs(gap)), 6) ks from x group by all""",
     "p5_found": f"""with {LINES_SQL} select line_id, problem reason from j where problem is not null
 union all select line_id, 'invalid_timestamp' from w where bad_ts union all select line_id, 'invalid_label' from w where bad_label""",
     "p4_found": f"""with {DRIFT_SQL}
@@ -87,7 +144,7 @@ s as (select *, epoch(ts)::bigint - epoch(last_value(ts ignore nulls) over (part
 select endpoint_role, ip, count(*)::bigint n_rows, min(row_id) first_row, max(row_id) last_row, count(ts)::bigint timed_rows,
        arg_min(ts, row_id) filter (ts is not null) first_time, arg_max(ts, row_id) filter (ts is not null) last_time,
        count(*) filter (step < 0)::bigint backward_steps, max(step) filter (step > 0)::bigint max_forward_gap_s,
-       sum(pk)::bigint total, count(*) / any_value(n)::double share
+       sum(pk)::bigint total, round(count(*) / any_value(n)::double, 6) share
 from s join t using (endpoint_role) group by endpoint_role, ip""",
 }
 
