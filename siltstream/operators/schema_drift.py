@@ -7,13 +7,16 @@ default, cast, drop). A file's lines are routed through the chained steps into t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import INTEGER, INFINITE, NAN_TOKENS, NULL_TOKENS, NUMBER, trimmed
-from siltstream.sources.csv_rejects import judged_lines, parse_lines
+from siltstream.session import materialise
+from siltstream.sources.csv_rejects import judged_lines, split_line
 
 # The names under which each field of an export is known.
 ALIASES = {
@@ -58,13 +61,20 @@ def value_type(value: Column) -> Column:
     return F.when(absent, None).when(token.rlike(INTEGER), 0).when(token.rlike(NUMBER), 1).otherwise(2)
 
 
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [split_line((line or "").removesuffix("\r")) or [] for line in batch.column("raw_line").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.list_(pa.string()))], ["feed", "source_file", "file_seq", "header"])
+
+
 def file_fields(raw: DataFrame, judged: DataFrame) -> DataFrame:
     """(feed, source_file, file_seq, position, name, field, value_type): one row per field of a file's header.
 
     value_type covers all values of the lines without a reason in judged; null if there are none. Of several
-    names for one field the first is kept, the others count as fields of their own name.
+    names for one field the first is kept, the others count as fields of their own name. Written to the shared
+    folder, as both sides of a comparison read it.
     """
-    headers = parse_lines(raw.where("source_line = 1"))
+    headers = raw.where("source_line = 1").select("feed", "source_file", "file_seq", "raw_line").mapInArrow(_headers, "feed string, source_file string, file_seq int, header array<string>")
     fields = headers.select("feed", "source_file", "file_seq", F.posexplode("header").alias("position", "name"))
     fields = fields.withColumn("field", canonical(F.col("name")))
     first = F.row_number().over(Window.partitionBy("source_file", "field").orderBy("position"))
@@ -73,7 +83,8 @@ def file_fields(raw: DataFrame, judged: DataFrame) -> DataFrame:
     values = sound.select("source_file", F.posexplode("fields").alias("position", "value"))
     types = values.groupBy("source_file", "position").agg(F.max(value_type(F.col("value"))).alias("kind"))
     kind = F.array(*map(F.lit, TYPES))[F.col("kind")].alias("value_type")
-    return fields.join(types, ["source_file", "position"], "left").select("feed", "source_file", "file_seq", "position", "name", "field", kind)
+    typed = fields.join(types, ["source_file", "position"], "left").select("feed", "source_file", "file_seq", "position", "name", "field", kind)
+    return materialise(typed, "fields")
 
 
 def _neighbours(fields: DataFrame) -> DataFrame:
