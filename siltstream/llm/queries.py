@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstream.llm import overlap, sampling
+from siltstream.llm import overlap, packing, sampling
 from siltstream.queries.general import BLANK_SQL, CATEGORY_SQL, TOKEN_SQL
 from siltstream.session import table
 
@@ -31,6 +31,18 @@ def p3_sample(spark, d):
     return sampling.draw_samples(*_sampling(spark, d))
 
 
+def p7_found(spark, d):
+    return packing.oversized(table(spark, d, "documents"))
+
+
+def p7_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p7_fill_report(spark, d):
+    return packing.fill_report(table(spark, d, "documents"))
+
+
 _LABEL = CATEGORY_SQL.format("coalesce(label, '')")
 POOL_SQL = f"""pool as (select {_LABEL} k from flows f where lower(trim(split)) = 'train' and not exists (select 1 from cleaning_audit a
   where a.source_file = f.source_file and a.source_row = f.source_row)),
