@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstream.llm import overlap, packing, sampling
+from siltstream.llm import leakage, overlap, packing, sampling
 from siltstream.queries.general import BLANK_SQL, CATEGORY_SQL, TOKEN_SQL
 from siltstream.session import table
 
@@ -43,6 +43,18 @@ def p7_fill_report(spark, d):
     return packing.fill_report(table(spark, d, "documents"))
 
 
+def p8_found(spark, d):
+    return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_leak_report(spark, d):
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_clean_documents(spark, d):
+    return leakage.clean_documents(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "source", "n_chars")
+
+
 _LABEL = CATEGORY_SQL.format("coalesce(label, '')")
 POOL_SQL = f"""pool as (select {_LABEL} k from flows f where lower(trim(split)) = 'train' and not exists (select 1 from cleaning_audit a
   where a.source_file = f.source_file and a.source_row = f.source_row)),
