@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstream.llm import leakage, overlap, packing, sampling
+from siltstream.llm import abuse, leakage, overlap, packing, sampling
 from siltstream.queries.general import BLANK_SQL, CATEGORY_SQL, TOKEN_SQL
 from siltstream.session import table
 
@@ -55,6 +55,18 @@ def p8_clean_documents(spark, d):
     return leakage.clean_documents(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "source", "n_chars")
 
 
+def p9_found(spark, d):
+    return abuse.abusive_documents(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p9_scores(spark, d):
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p9_source_rates(spark, d):
+    return abuse.source_rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
 _LABEL = CATEGORY_SQL.format("coalesce(label, '')")
 POOL_SQL = f"""pool as (select {_LABEL} k from flows f where lower(trim(split)) = 'train' and not exists (select 1 from cleaning_audit a
   where a.source_file = f.source_file and a.source_row = f.source_row)),
