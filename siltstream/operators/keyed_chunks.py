@@ -9,7 +9,7 @@ of a key than one block, and after the single shuffle of the rows only states mo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import trimmed
@@ -20,7 +20,7 @@ CHUNK_ROWS = 50_000
 BLOCKS_PER_PARTITION = 4
 
 
-def _block(order: Column, bounds: list[int]) -> Column:
+def in_block(order: Column, bounds: list[int]) -> Column:
     """The number of bounds <= order, as a balanced tree of comparisons."""
 
     def tree(low: int, high: int) -> Column:
@@ -32,6 +32,10 @@ def _block(order: Column, bounds: list[int]) -> Column:
     return tree(0, len(bounds))
 
 
+def default_blocks(spark: SparkSession) -> int:
+    return min(256, BLOCKS_PER_PARTITION * shuffle_partitions(spark))
+
+
 def block_bounds(df: DataFrame, order: str, blocks: int) -> list[int]:
     """At most blocks - 1 rising split points of the order column."""
     if blocks < 2:
@@ -47,10 +51,10 @@ def number_rows(df: DataFrame, keys: list[str], order: str, chunk_rows: int = CH
     Null keys are numbered as a key of their own. The order column must be a non-null, unique bigint; ties would
     be numbered in any order. An empty df stays empty.
     """
-    blocks = blocks or min(256, BLOCKS_PER_PARTITION * shuffle_partitions(df.sparkSession))
+    blocks = blocks or default_blocks(df.sparkSession)
     bounds = block_bounds(df, order, blocks)
     # structs compare null-safely without the rewritten join keys that eqNullSafe brings, which would cost a shuffle
-    rows = df.withColumn("_block", _block(F.col(order), bounds)).withColumn("_key", F.struct(*keys))
+    rows = df.withColumn("_block", in_block(F.col(order), bounds)).withColumn("_key", F.struct(*keys))
     counts = rows.groupBy("_block", "_key").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
