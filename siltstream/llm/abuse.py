@@ -32,6 +32,8 @@ WRONG_ABUSIVE, WRONG_CLEAN = 0.2, 0.005
 #: Evidence (log odds) from which a sentence counts as abusive beside others of its document.
 CERTAIN = 4.0
 THRESHOLD = 0.5
+#: Documents whose features are held at once.
+SLICE_DOCUMENTS = 500
 SEED = 20290605
 
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]([ .\-_*]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W\d_])")
@@ -196,8 +198,14 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, f
     return model.dense(), model.bias()
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_DOCUMENTS):
+            yield batch.slice(start, SLICE_DOCUMENTS)
+
+
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         docs = [sentences(t.as_py()) for t in batch.column("text")]
         x, at, owner = features(docs)
         order = np.argsort(at, kind="stable")
@@ -237,7 +245,7 @@ def _score(model):
         kept, values, bias = model.value
         dense = np.zeros(1 << BITS, dtype=np.float64)
         dense[kept] = values
-        for batch in batches:
+        for batch in _slices(batches):
             docs = [sentences(t.as_py()) for t in batch.column("text")]
             x, at, owner = features(docs)
             # each feature once per sentence, as in fitting
