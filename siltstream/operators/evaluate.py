@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.plans.running import running_totals
+from siltstream.plans.running import exact_quantiles, running_totals
 
 FPR_CAPS = [0.01, 0.005, 0.001]
 BENIGN_CAPS = [0.05, 0.01, 0.005, 0.001]
@@ -178,8 +178,10 @@ def calibration(df: DataFrame, keys: list[str], y: str, score: str, bins: int =
 def score_summary(df: DataFrame, keys: list[str], score: str, threshold: float = 0.5) -> DataFrame:
     """(keys, n, mean, median, p75, p90, p95, p99, maximum, recall): exact percentiles; recall is the share at or
     above the threshold."""
-    q = lambda p: F.percentile(score, F.lit(p))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), q(0.5).alias("median"), *[q(p / 100).alias(f"p{p}") for p in (75, 90, 95, 99)], F.max(score).alias("maximum"), F.avg((F.col(score) >= threshold).cast("double")).alias("recall"))
+    names = ["median", "p75", "p90", "p95", "p99"]
+    ranks = exact_quantiles(df, keys, score, [0.5, 0.75, 0.9, 0.95, 0.99], names).drop("n")
+    rest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.max(score).alias("maximum"), F.avg((F.col(score) >= threshold).cast("double")).alias("recall"))
+    return _with_totals(rest, ranks, keys)
 
 
 def seed_summary(runs: DataFrame, keys: list[str], seed: str, metrics: list[str], seeds: int = 5) -> DataFrame:

@@ -45,20 +45,21 @@ def block_bounds(df: DataFrame, order: str, blocks: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, chunk_rows: int = CHUNK_ROWS, blocks: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: str | list[str], chunk_rows: int = CHUNK_ROWS, blocks: int | None = None) -> DataFrame:
     """df with _key (the keys as a struct), _block, _row (0-based position within its key, in order) and _chunk.
 
-    Null keys are numbered as a key of their own. The order column must be a non-null, unique bigint; ties would
-    be numbered in any order. An empty df stays empty.
+    Null keys are numbered as a key of their own. The order columns must be unique within a key and not null, the
+    first a bigint, by which blocks are cut; ties would be numbered in any order. An empty df stays empty.
     """
+    orders = [order] if isinstance(order, str) else order
     blocks = blocks or default_blocks(df.sparkSession)
-    bounds = block_bounds(df, order, blocks)
+    bounds = block_bounds(df, orders[0], blocks)
     # structs compare null-safely without the rewritten join keys that eqNullSafe brings, which would cost a shuffle
-    rows = df.withColumn("_block", in_block(F.col(order), bounds)).withColumn("_key", F.struct(*keys))
+    rows = df.withColumn("_block", in_block(F.col(orders[0]), bounds)).withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("k")))
     counts = rows.groupBy("_block", "_key").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_block", "_key").orderBy(order)))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_block", "_key").orderBy(*orders)))
     # a broadcast of the offsets would grow with the keys
     numbered = placed.hint("merge").join(offsets, ["_block", "_key"])
     numbered = numbered.withColumn("_row", F.col("_at") - 1 + F.col("_offset"))

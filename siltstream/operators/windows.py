@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstream.plans.running import exact_quantiles
+
 
 
 def window_start(time: Column, minutes: int) -> Column:
@@ -54,15 +56,10 @@ def pair_recurrence(df: DataFrame, time: str, source: str, target: str, minutes:
 
 def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per keys: n, min, median, mean, p95 and max, percentiles exact and linear. Nulls are left out."""
+    ranks = exact_quantiles(df, keys, value, [0.5, 0.95], ["median", "p95"])
     x = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"),
-        F.min(x).alias("minimum"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
-        F.avg(x).alias("mean"),
-        F.percentile(x, F.lit(0.95)).alias("p95"),
-        F.max(x).alias("maximum"),
-    )
+    rest = df.where(x.isNotNull()).groupBy(*keys).agg(F.min(x).alias("minimum"), F.avg(x).alias("mean"), F.max(x).alias("maximum"))
+    return rest.join(ranks, keys) if keys else rest.crossJoin(F.broadcast(ranks))  # one row each
 
 
 def timeline(df: DataFrame, time: str, minutes: int, malicious: Column, source: str, target: str) -> DataFrame:
