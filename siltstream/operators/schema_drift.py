@@ -82,7 +82,7 @@ def file_fields(raw: DataFrame, judged: DataFrame) -> DataFrame:
     sound = judged.where((F.col("source_line") > 1) & (F.size("reasons") == 0))
     values = sound.select("source_file", F.posexplode("fields").alias("position", "value"))
     types = values.groupBy("source_file", "position").agg(F.max(value_type(F.col("value"))).alias("kind"))
-    kind = F.array(*map(F.lit, TYPES))[F.col("kind")].alias("value_type")
+    kind = F.when(F.col("kind") == 0, TYPES[0]).when(F.col("kind") == 1, TYPES[1]).when(F.col("kind") == 2, TYPES[2]).alias("value_type")
     typed = fields.join(types, ["source_file", "position"], "left").select("feed", "source_file", "file_seq", "position", "name", "field", kind)
     return materialise(typed, "fields")
 
