@@ -37,6 +37,7 @@ SLICE_DOCUMENTS = 500
 SEED = 20290605
 
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]([ .\-_*]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W\d_])")
+_GAP = re.compile(r"[ .\-_*]")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+|[@$*]+(?=[^\W_]))*|[@$][^\W_]+(?:[*@$!]+[^\W_]+)*")
 _REPEAT = re.compile(r"(.)\1+")
@@ -75,10 +76,13 @@ def sentences(text: str | None) -> list[list[str]]:
         text = unicodedata.normalize("NFKC", text).replace("​", "")
     made = []
     for part in _SENTENCE.split(text.lower()):
-        part = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), part)
-        tokens = _TOKEN.findall(part)
-        if tokens:
-            made.append(tokens)
+        joined = _SPACED.sub(lambda m: _GAP.sub("", m[0]), part)
+        # a first letter that is a word of its own may not belong to the word set apart
+        other = _SPACED.sub(lambda m: m[0][0] + " " + _GAP.sub("", m[0][1:]) if m[0][0] in "ai" else _GAP.sub("", m[0]), part) if joined != part else joined
+        for form in {joined: 0, other: 0}:
+            tokens = _TOKEN.findall(form)
+            if tokens:
+                made.append(tokens)
     return made
 
 
@@ -105,35 +109,31 @@ def features(docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 class Ftrl:
-    """FTRL-proximal logistic regression; weights follow from the sums z and n of each coordinate."""
+    """FTRL-proximal logistic regression; weights follow from the sums z and n of each coordinate. The bias is fixed,
+    so that a sentence of unknown features is judged by how common abusive sentences are."""
 
-    def __init__(self):
-        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        self.bias_z = self.bias_n = 0.0
+    def __init__(self, bias: float):
+        self.z, self.n, self.bias = np.zeros(1 << BITS), np.zeros(1 << BITS), bias
 
     def weights(self, x: np.ndarray) -> np.ndarray:
         z, n = self.z[x], self.n[x]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def bias(self) -> float:
-        return -self.bias_z / ((BETA + math.sqrt(self.bias_n)) / ALPHA)
-
     def learn(self, x: np.ndarray, y: float, weight: float) -> None:
-        w, b = self.weights(x), self.bias()
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w.sum()) + b))))
+        w = self.weights(x)
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w.sum()) + self.bias))))
         g = (p - y) * weight
         n = self.n[x]
         self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[x] = n + g * g
-        self.bias_z += g - (math.sqrt(self.bias_n + g * g) - math.sqrt(self.bias_n)) / ALPHA * b
-        self.bias_n += g * g
 
     def dense(self) -> np.ndarray:
         return self.weights(np.arange(1 << BITS)).astype(np.float32)
 
 
 def _learnt(examples: list[np.ndarray], positive: np.ndarray, negative: np.ndarray, rng: np.random.Generator) -> Ftrl:
-    model = Ftrl()
+    # half the log odds: the full prior would leave nothing to learn from ordinary sentences
+    model = Ftrl(0.5 * math.log((positive.sum() + 1) / (negative.sum() + 2)))
     scale = np.minimum(1.0, MOST_WEIGHT / np.maximum(positive + negative, 1e-9))
     cases = [(i, 1.0, w) for i, w in enumerate(positive * scale) if w > 0.01] + [(i, 0.0, w) for i, w in enumerate(negative * scale) if w > 0.01]
     for _ in range(EPOCHS):
@@ -195,7 +195,7 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, f
         # of two abusive sentences both answer in full
         blame = np.where(evidence > CERTAIN, (odds / (1 + odds))[doc], blame)
     model = _learnt(examples, *weighed(np.ones(len(sentence), dtype=bool)), rng)
-    return model.dense(), model.bias()
+    return model.dense(), model.bias
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 Documents are tokenised once. A document beyond the capacity is cut into full containers and a rest; all else
 stays whole. Items go into shards by a hash of doc_id; each shard holds a BM25 inverted index over its items,
 with document frequencies of all documents. The longest unused item seeds a container, its unused neighbours
-fill it in order of their score, and the last space is taken by the longest item that still fits.
+fill it in order of their score, and the last space is taken by the longest item that still fits, the
+nearest of several.
 """
 
 from __future__ import annotations
@@ -105,9 +106,9 @@ def pack_shard(lengths: np.ndarray, index: Index, capacity: int) -> list[list[in
             fits = unused & (lengths <= free)
             if not fits.any():
                 break
+            if scores is None:
+                scores = index.scores(seed)
             if free > LAST_SPACE * capacity:
-                if scores is None:
-                    scores = index.scores(seed)
                 near = np.flatnonzero(fits)
                 for item in near[np.argsort(-scores[near], kind="stable")]:
                     if free <= LAST_SPACE * capacity:
@@ -117,8 +118,9 @@ def pack_shard(lengths: np.ndarray, index: Index, capacity: int) -> list[list[in
                         unused[item] = False
                         free -= int(lengths[item])
             else:
-                rest = by_length[fits[by_length]]
-                item = int(rest[-1])
+                rest = np.flatnonzero(fits)
+                longest = rest[lengths[rest] == lengths[rest].max()]
+                item = int(longest[np.argmax(scores[longest])])
                 held.append(item)
                 unused[item] = False
                 free -= int(lengths[item])
