@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import exact_quantiles, running_totals
+from siltstream.session import materialise
 
 DECILES = [i / 10 for i in range(1, 10)]
 LEAST_SHARE = 1e-6
@@ -25,10 +26,15 @@ def feature_summary(values: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(ranks, keys, "left")
 
 
-def ks_distance(values: DataFrame, keys: list[str], is_reference: Column) -> DataFrame:
-    """(keys, n_reference, n_other, ks): the exact two-sample KS distance, ties taken together; null if a side is empty."""
-    rows = values.where("value is not null").withColumn("_a", is_reference.cast("int"))
-    counts = rows.groupBy(*keys, "value").agg(F.sum("_a").alias("a"), F.sum(1 - F.col("_a")).alias("b"))
+def side_counts(values: DataFrame, keys: list[str], is_reference: Column) -> DataFrame:
+    """(keys, value, a, b): rows of the reference and of the other side per value, null among the values; written to
+    the shared folder, as every comparison reads it several times."""
+    rows = values.withColumn("_a", is_reference.cast("int"))
+    return materialise(rows.groupBy(*keys, "value").agg(F.sum("_a").alias("a"), F.sum(1 - F.col("_a")).alias("b")), "sides")
+
+
+def _ks(sides: DataFrame, keys: list[str]) -> DataFrame:
+    counts = sides.where("value is not null")
     up = running_totals(counts, keys, "value", ["a", "b"])
     totals = counts.groupBy(*keys).agg(F.sum("a").alias("n_reference"), F.sum("b").alias("n_other"))
     gap = F.abs(F.col("upto_a") / F.col("n_reference") - F.col("upto_b") / F.col("n_other"))
@@ -36,16 +42,24 @@ def ks_distance(values: DataFrame, keys: list[str], is_reference: Column) -> Dat
     return up.join(totals, keys).groupBy(*keys, "n_reference", "n_other").agg(F.max(F.when(both, gap)).alias("ks"))
 
 
+def ks_distance(values: DataFrame, keys: list[str], is_reference: Column) -> DataFrame:
+    """(keys, n_reference, n_other, ks): the exact two-sample KS distance, ties taken together; null if a side is empty."""
+    return _ks(side_counts(values, keys, is_reference), keys)
+
+
 def psi(values: DataFrame, keys: list[str], is_reference: Column) -> DataFrame:
     """(keys, psi) over the reference's deciles, open at both ends, with a bin of missing values; shares have a floor
     and are scaled again. A constant reference has a bin of its own value. Keys without reference rows are absent."""
-    rows = values.withColumn("_a", is_reference.cast("int"))
+    return _psi(side_counts(values, keys, is_reference), keys)
+
+
+def _psi(sides: DataFrame, keys: list[str]) -> DataFrame:
     names = [f"d{i}" for i in range(1, 10)]
-    reference = rows.where("_a = 1")
+    reference = sides.where("a > 0")
     spread = reference.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-    edges = spread.join(exact_quantiles(reference, keys, "value", DECILES, names).drop("n"), keys, "left")
+    edges = spread.join(exact_quantiles(reference, keys, "value", DECILES, names, weight="a").drop("n"), keys, "left")
     edges = edges.select(*keys, "_low", "_high", F.array_distinct(F.array_compact(F.array(*names))).alias("edges"))
-    counts = rows.groupBy(*keys, "value").agg(F.sum("_a").alias("a"), F.sum(1 - F.col("_a")).alias("b")).join(edges, keys)
+    counts = sides.join(edges, keys)
     constant = F.col("_low") == F.col("_high")
     fixed = F.when(F.col("value") < F.col("_low"), 0).when(F.col("value") == F.col("_low"), 1).otherwise(2)
     cut = F.size(F.filter("edges", lambda e: e <= F.col("value")))
@@ -66,7 +80,8 @@ def shift(values: DataFrame, part: str, reference: str, others: list[str]) -> Da
     sides = F.when(F.col(part) == reference, F.array(*map(F.lit, others))).otherwise(F.array(part))
     rows = values.where(F.col(part).isin(reference, *others)).withColumn("_ref", F.col(part) == reference).withColumn(part, F.explode(sides))
     keys = ["feature", part]
-    return ks_distance(rows, keys, F.col("_ref")).select(*keys, "ks").join(psi(rows, keys, F.col("_ref")), keys, "full")
+    sides = side_counts(rows, keys, F.col("_ref"))
+    return _ks(sides, keys).select(*keys, "ks").join(_psi(sides, keys), keys, "full")
 
 
 def top_shifts(shifts: DataFrame, part: str, most: int = 20) -> DataFrame:

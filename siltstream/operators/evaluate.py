@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import exact_quantiles, running_totals
+from siltstream.session import materialise
 
 FPR_CAPS = [0.01, 0.005, 0.001]
 BENIGN_CAPS = [0.05, 0.01, 0.005, 0.001]
@@ -48,8 +49,9 @@ def confusion(df: DataFrame, keys: list[str], y: str, score: str, threshold: Col
 def sweep(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Per keys and distinct score, as a threshold: pos and neg at it, tp and fp at or above it, and the totals."""
     by_score = df.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum(1 - F.col(y).cast("bigint")).alias("neg"))
+    by_score = materialise(by_score, "scores")  # read for the bounds, the totals and the sums
     up = running_totals(by_score, keys, "threshold", ["pos", "neg"], descending=True).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
-    totals = df.groupBy(*keys).agg(F.sum(F.col(y).cast("bigint")).alias("n_pos"), F.sum(1 - F.col(y).cast("bigint")).alias("n_neg"))
+    totals = by_score.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return _with_totals(up, totals, keys)
 
 
@@ -119,8 +121,9 @@ def benign_thresholds(df: DataFrame, keys: list[str], score: str, caps: list[flo
     that leaves at most floor(cap * n) rows at or above. With a cap of 1 every row is allowed and the threshold is the
     lowest score."""
     by_score = df.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(F.count(F.lit(1)).alias("k"))
+    by_score = materialise(by_score, "scores")
     up = running_totals(by_score, keys, "threshold", ["k"], descending=True)
-    points = _with_totals(up, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    points = _with_totals(up, by_score.groupBy(*keys).agg(F.sum("k").alias("n")), keys)
     every = points.select(*keys, "threshold", "k", "upto_k", "n", F.explode(F.array(*map(F.lit, caps))).alias("cap")).withColumn("allowed", F.floor(F.col("cap") * F.col("n")))
     # the order statistic with `allowed` rows above it, itself not among them
     at = every.where((F.col("upto_k") > F.col("allowed")) & (F.col("upto_k") - F.col("k") <= F.col("allowed")))
@@ -146,7 +149,7 @@ def family_recall(df: DataFrame, keys: list[str], family: str, score: str, thres
 def family_ranking(df: DataFrame, keys: list[str], family: str, score: str) -> DataFrame:
     """AUC and AP of each family against the benign rows of the same keys. Scores are counted first; benign counts
     are repeated for each family, rows never."""
-    counts = df.groupBy(*keys, family, F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("k"))
+    counts = materialise(df.groupBy(*keys, family, F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("k")), "scores")
     benign = counts.where(F.col(family) == "benign").drop(family)
     attacks = counts.where(F.col(family) != "benign").withColumn("y", F.lit(1))
     book = attacks.select(*keys, family).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import running_totals
+from siltstream.session import materialise
 
 WEIGHTS = [0.25, 0.5, 0.75]
 
@@ -14,6 +15,7 @@ def ecdf(df: DataFrame, score: str, is_reference: Column, name: str) -> DataFram
     """df with the share of reference scores at or below each row's score: 0 below all, 1 from the greatest on. Null
     scores get null; an empty reference gives null."""
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(F.sum(is_reference.cast("int")).alias("_n"))
+    counts = materialise(counts, "counts")
     up = running_totals(counts, [], "_v", ["_n"])
     total = counts.agg(F.sum("_n").alias("_all"))
     table = up.crossJoin(F.broadcast(total)).select("_v", F.when(F.col("_all") > 0, F.col("upto__n") / F.col("_all")).alias(name))  # one row
@@ -40,7 +42,7 @@ def overlap(df: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """df with the average rank of each row's value within its keys."""
-    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "counts")
     ranks = running_totals(counts, keys, "_v", ["_n"]).select(*keys, "_v", (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(name))
     same = F.col(value).cast("double") == F.col("_v")
     for k in keys:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import exact_quantiles
+from siltstream.session import materialise
 
 LAGS = 8
 KINDS = {"pair": ["src", "dst"], "source": ["src"], "destination": ["dst"]}
@@ -55,6 +56,7 @@ def history_coverage(rows: DataFrame, slots: DataFrame, counts: DataFrame, y: st
     median, p90 and maximum, how many have all or any of the first 3, 7 and 8 lags, and tokens by kind over 7 lags."""
     per = slots.groupBy("id").agg(*[F.count(F.when(F.col("lag") <= k, 1)).alias(f"first_{k}") for k in (3, 7, 8)], *[F.count(F.when((F.col("lag") <= 7) & (F.col("kind") == i), 1)).alias(f"kind_{i}") for i in (1, 2, 3)])
     joined = rows.select("id", "part", y).join(counts, "id").join(per, "id", "left").fillna(0)
+    joined = materialise(joined, "history")
     n = lambda c: F.count(F.when(c, 1))
     aggs = [F.count(F.lit(1)).alias("n")]
     for name in KINDS:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.operators.keyed_chunks import default_blocks, in_block
+from siltstream.session import materialise
 
 
 def value_bounds(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
@@ -33,10 +34,13 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str]
     return placed.select(*df.columns, *[(F.col(f"_r{v}") + F.col(f"_s{v}")).alias(f"upto_{v}") for v in values])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str]) -> DataFrame:
-    """(keys, n, <names>): exact quantiles of a number column, linear between the two nearest ranks. Values are counted
-    first and ranked by running totals; nulls are left out, so keys with nulls only are absent."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, n, <names>): exact quantiles of a number column, linear between the two nearest ranks; a row counts
+    ``weight`` times. Values are counted first and ranked by running totals; nulls are left out, so keys with nulls
+    only are absent."""
+    many = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(many.alias("_n"))
+    counts = materialise(counts.where("_n > 0"), "counts")
     up = running_totals(counts, keys, "_v", ["_n"])
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("k"))
@@ -47,5 +51,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     low = {name: F.max(F.when(here(F.floor(a)), F.col("_v"))) for name, a in at.items()}
     high = {name: F.max(F.when(here(F.ceil(a)), F.col("_v"))) for name, a in at.items()}
     made = placed.groupBy(*keys, "n").agg(*[low[x].alias(f"_l{x}") for x in names], *[high[x].alias(f"_h{x}") for x in names])
-    part = {name: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)) for q, name in zip(shares, names)}
+    part = {name: a - F.floor(a) for name, a in at.items()}
     return made.select(*keys, "n", *[(F.col(f"_l{x}") + (F.col(f"_h{x}") - F.col(f"_l{x}")) * part[x]).alias(x) for x in names])
