@@ -54,8 +54,9 @@ def correlations(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, n, pearson, spearman) over rows with both values; null where a side is constant."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
     ranked = mid_ranks(mid_ranks(rows, keys, a, "_ra"), keys, b, "_rb")
-    good = lambda x: F.when(~F.isnan(x), x)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), good(F.corr(a, b)).alias("pearson"), good(F.corr("_ra", "_rb")).alias("spearman"))
+    # the built-in correlation fails for a constant side
+    related = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), related(a, b).alias("pearson"), related("_ra", "_rb").alias("spearman"))
 
 
 def compared_to(metrics: DataFrame, keys: list[str], model: str, base: str, names: list[str]) -> DataFrame:

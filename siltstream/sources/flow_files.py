@@ -22,22 +22,23 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(source_file, line, source_line, byte_offset) of every physical line, line numbers from 1, offsets from 0.
 
     A file may be cut into splits at will: within a split lines stand in order, and counts and lengths of the splits
-    before it give where it starts, so no file is numbered in one task. A line keeps no line break; a byte order
-    mark is taken from a file's first line but counts in the offsets. Lines that are not UTF-8 keep their length.
+    before it give where it starts, so no file is numbered in one task. A line keeps no line break. A byte order mark,
+    which the reader takes from a file, shows in the file's size and counts in the offsets. Files must be UTF-8.
     """
-    lines = spark.read.option("lineSep", "\n").text(paths).select("*", "_metadata.file_name", "_metadata.file_path", "_metadata.file_block_start")
-    lines = lines.select(F.col("file_name").alias("source_file"), F.col("file_path").alias("_path"), F.col("file_block_start").alias("_split"), "value", F.monotonically_increasing_id().alias("_id"))
+    lines = spark.read.option("lineSep", "\n").text(paths).select("*", "_metadata.file_name", "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size")
+    lines = lines.select(F.col("file_name").alias("source_file"), F.col("file_path").alias("_path"), F.col("file_block_start").alias("_split"), F.col("file_size").alias("_size"), "value", F.monotonically_increasing_id().alias("_id"))
     size = F.octet_length("value") + 1
     inside = Window.partitionBy("_path", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = lines.withColumns({"_n": F.row_number().over(Window.partitionBy("_path", "_split").orderBy("_id")), "_o": F.coalesce(F.sum(size).over(inside), F.lit(0))})
-    splits = lines.groupBy("_path", "_split").agg(F.count(F.lit(1)).alias("_c"), F.sum(size).alias("_s"))
+    splits = lines.groupBy("_path", "_split", "_size").agg(F.count(F.lit(1)).alias("_c"), F.sum(size).alias("_s"))
     before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("_path", "_split", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o0"))
+    mark = F.when(F.sum("_s").over(Window.partitionBy("_path")) < F.col("_size"), 3).otherwise(0)
+    starts = splits.select("_path", "_split", mark.alias("_mark"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o0"))
     joined = placed.join(starts, ["_path", "_split"])
     number = F.col("_n") + F.col("_n0")
     text = F.regexp_replace("value", "\r$", "")
     text = F.when(number == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
-    return joined.select("source_file", "_path", text.alias("line"), number.alias("source_line"), (F.col("_o") + F.col("_o0")).alias("byte_offset"))
+    return joined.select("source_file", "_path", text.alias("line"), number.alias("source_line"), (F.col("_o") + F.col("_o0") + F.when(number > 1, F.col("_mark")).otherwise(0)).alias("byte_offset"))
 
 
 def read_flow_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
