@@ -76,7 +76,31 @@ e as (select count(*) n from pool),
 t as (select s.*, coalesce(c.n, 0) have, greatest(min_rows::double, target_share * sample_fraction * e.n) need from sampling_targets s cross join e
   left join c on c.kind = lower(trim(category_kind)) and c.k = {CATEGORY_SQL.format("category")})"""
 
+_NUMBER = "case when regexp_full_match({0}, '[+-]?([0-9]+\\\\.?[0-9]*|\\\\.[0-9]+)(e[+-]?[0-9]+)?') then ({0})::double + 0.0 end".replace("\\\\", "\\")
+
+
+def _canonical(name):
+    if name in ("src_ip", "dst_ip"):
+        return f"trim({name}, {BLANK_SQL})"
+    if name in ("protocol", "label"):
+        return CATEGORY_SQL.format(name)
+    if name in ("flow_duration", "flow_byts_s", "flow_pkts_s"):
+        return _NUMBER.format(TOKEN_SQL.format(name))
+    if name in ("totlen_fwd_pkts", "totlen_bwd_pkts", "flow_iat_mean"):
+        return f"case when not isnan({name}) then {name} + 0.0 end"
+    return name
+
+
+OVERLAP_SQL = f"""r as (select row_id, source_file, lower(trim(split, {BLANK_SQL})) split, {', '.join(f'{_canonical(f)} {f}' for f in overlap.FIELDS)} from flows f
+  where not exists (select 1 from cleaning_audit a where a.source_file = f.source_file and a.source_row = f.source_row)),
+t as (select * from r where split = 'train'), e as (select * from r where split in ('validation', 'test')),
+c as ({' union '.join(f"select e.row_id e, t.row_id t from e join t on {' and '.join(f'e.{x} = t.{x}' for x in b)}" for b in overlap.BLOCKS)}),
+p as (select e.row_id e, t.row_id t, e.split, e.source_file, {' + '.join(f'coalesce((e.{x} = t.{x})::int, 0)' for x in overlap.FIELDS)} agree from c join e on e.row_id = c.e join t on t.row_id = c.t),
+found as (select * from p where agree >= {overlap.AGREE})"""
+
 SQL = {
+    "p2_found": f"with {OVERLAP_SQL} select least(e, t) row_id_a, greatest(e, t) row_id_b from found",
+    "p2_overlap_report": f"with {OVERLAP_SQL} select split, source_file, count(*) n_pairs, count(*) filter (agree = 15) n_exact_pairs, count(distinct e) n_eval_records, count(distinct t) n_train_records from found group by all",
     "p3_found": f"with {POOL_SQL} select distinct plan_id::bigint plan_id, category from t where have < need",
 }
 
