@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import category, number, token_class
-from siltstream.session import materialise, shuffle_partitions
+from siltstream.session import materialise, shuffle_partitions, sized
 
 MEASURES = ["flow_duration", "flow_byts_s", "flow_pkts_s"]
 DURATION_LIMIT = 120_000_000
@@ -88,10 +88,10 @@ def range_sorted(values: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def segments(ordered: DataFrame) -> DataFrame:
     """(pid, gid, m, d, low, high, offset, total): each partition's part of a gid, the gid's rows in earlier
-    partitions and in all. At most one row per gid and one more per partition."""
+    partitions and in all. At most one row per gid and one more per partition; written to the shared folder."""
     parts = ordered.groupBy("pid", "gid").agg(F.max("upto").alias("m"), F.count(F.lit(1)).alias("d"), F.min("v").alias("low"), F.max("v").alias("high"))
     before = Window.partitionBy("gid").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy("gid")))
+    return materialise(parts.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy("gid"))), "segments")
 
 
 def quantiles(ordered: DataFrame, parts: DataFrame, shares: list[float]) -> DataFrame:
@@ -101,7 +101,7 @@ def quantiles(ordered: DataFrame, parts: DataFrame, shares: list[float]) -> Data
     wanted = wanted.withColumn("at", at).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
     wanted = wanted.where((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("m")))
     wanted = wanted.select("pid", "gid", "q", "at", "rank", (F.col("rank") - F.col("offset")).alias("local"))
-    found = ordered.join(wanted, ["pid", "gid"]).where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n")))
+    found = ordered.join(sized(wanted), ["pid", "gid"]).where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n")))
     if dict(ordered.dtypes)["v"] == "string":
         return found.groupBy("gid", "q").agg(F.min("v").alias("value"))
     share = F.max("at") - F.floor(F.max("at"))
@@ -245,7 +245,7 @@ def load_distances(flows: DataFrame, columns: list[str] = MEASURES) -> DataFrame
     sides = pairs.join(totals.withColumnRenamed("n", "tc"), "gid", "left").join(totals.select(F.col("gid").alias("old_gid"), F.col("n").alias("tp")), "old_gid", "left")
     sides = sides.withColumn("tc", F.coalesce("tc", F.lit(0))).withColumn("tp", F.coalesce("tp", F.lit(0)))
     roles = sides.select(F.inline(F.array(F.struct(F.col("gid").alias("from_gid"), "gid", "tc", "tp", F.lit(1).alias("is_now")), F.struct(F.col("old_gid").alias("from_gid"), "gid", "tc", "tp", F.lit(0).alias("is_now")))))
-    curve = counted.withColumnRenamed("gid", "from_gid").join(roles, "from_gid").select("gid", "v", "tc", "tp", (F.col("n") * F.col("is_now")).alias("c"), (F.col("n") * (1 - F.col("is_now"))).alias("p"))
+    curve = counted.withColumnRenamed("gid", "from_gid").join(sized(roles), "from_gid").select("gid", "v", "tc", "tp", (F.col("n") * F.col("is_now")).alias("c"), (F.col("n") * (1 - F.col("is_now"))).alias("p"))
     curve = curve.groupBy("gid", "v").agg(F.sum("c").alias("c"), F.sum("p").alias("p"), F.first("tc").alias("tc"), F.first("tp").alias("tp"))
     ordered = curve.repartitionByRange(shuffle_partitions(flows.sparkSession), "gid", "v").sortWithinPartitions("gid", "v").withColumn("pid", F.spark_partition_id())
     parts = materialise(ordered.mapInArrow(_curve, "pid int, gid bigint, c bigint, p bigint, high double, low double"), "curves")

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Narrow tables of at most this many rows may be broadcast, some 20 MB.
+BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "siltstream", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -64,3 +68,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df for the small side of a join: broadcast if it has at most ``most`` rows, else for a sort-merge join.
+
+    The rows are counted, up to the bound; sizes that the engine takes from compressed files say little about memory.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
