@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstream.functions.text import category, number, trimmed
 from siltstream.operators.eligible import eligible
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 
 FIELDS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_pkts", "totlen_bwd_pkts", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "init_fwd_win_byts", "label"]
 AGREE = 12
@@ -88,6 +88,7 @@ def candidates(records: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = materialise(_crowds(first, crowd), "crowds")
     if crowded.isEmpty():
         return _joined(first).distinct()
+    crowded = sized(crowded)
     quiet = first.join(crowded, "key", "left_anti")
     # only the rows of a crowded block value, with that block's further keys
     further = F.array(
@@ -120,8 +121,8 @@ def overlaps(flows: DataFrame, audit: DataFrame, crowd: int = CROWD) -> DataFram
     pairs = materialise(candidates(records, crowd), "candidates")
     ids = pairs.select(F.col("e").alias("row_id")).union(pairs.select("t")).distinct()
     # the audit is held against the few candidates, not against all of flows
-    known = eligible(records.join(ids, "row_id", "left_semi"), audit)
-    known = materialise(known, "candidate-records")
+    known = eligible(records.join(sized(ids), "row_id", "left_semi"), audit)
+    known = sized(materialise(known, "candidate-records"))
     both = pairs.join(known.alias("a"), F.col("e") == F.col("a.row_id")).join(known.alias("b"), F.col("t") == F.col("b.row_id"))
     return both.withColumn("agree", _agreeing()).where(F.col("agree") >= AGREE).select("e", "t", "agree", F.col("a.split").alias("split"), F.col("a.source_file").alias("source_file"), F.col("b.source_file").alias("train_file"))
 
