@@ -70,9 +70,10 @@ def refined(block: int) -> list[list[str]]:
     return parts
 
 
-def _crowds(keys: DataFrame, crowd: int) -> DataFrame:
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, pairs) of the keys that both sides have. Counted with map-side combining, so a key of any size is one row."""
     counts = keys.groupBy("key").agg(F.count(F.when(F.col("is_eval"), 1)).alias("e"), F.count(F.when(~F.col("is_eval"), 1)).alias("t"))
-    return counts.where(F.col("e") * F.col("t") > crowd).select("key")
+    return counts.where("e > 0 and t > 0").select("key", (F.col("e") * F.col("t")).alias("pairs"))
 
 
 def _joined(keys: DataFrame) -> DataFrame:
@@ -85,11 +86,12 @@ def candidates(records: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(e, t): each evaluation and training row_id that agree in a whole block; no pair that qualifies is missing."""
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), _hash(0, b).alias("key")) for b in range(len(BLOCKS))])
     first = records.select("row_id", "is_eval", F.inline(blocks)).where("key is not null")
-    crowded = materialise(_crowds(first, crowd), "crowds")
+    # few keys are on both sides; the rows of all others stay where they are
+    shared = materialise(_shared(first), "shared-keys")
+    quiet = _joined(first.join(sized(shared.where(F.col("pairs") <= crowd).select("key")), "key", "left_semi"))
+    crowded = shared.where(F.col("pairs") > crowd).select("key")
     if crowded.isEmpty():
-        return _joined(first).distinct()
-    crowded = sized(crowded)
-    quiet = first.join(crowded, "key", "left_anti")
+        return quiet.distinct()
     # only the rows of a crowded block value, with that block's further keys
     further = F.array(
         *[
@@ -99,8 +101,9 @@ def candidates(records: DataFrame, crowd: int = CROWD) -> DataFrame:
         ]
     )
     loud = records.select("row_id", "is_eval", F.inline(further)).where("key is not null and next is not null")
-    loud = loud.join(crowded, "key", "left_semi").select("row_id", "is_eval", F.col("next").alias("key"))
-    return _joined(quiet).unionByName(_joined(loud)).distinct()
+    loud = loud.join(sized(crowded), "key", "left_semi").select("row_id", "is_eval", F.col("next").alias("key"))
+    loud = loud.join(sized(materialise(_shared(loud), "shared-keys").select("key")), "key", "left_semi")
+    return quiet.unionByName(_joined(loud)).distinct()
 
 
 def _agreeing() -> Column:
