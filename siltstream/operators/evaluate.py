@@ -214,3 +214,16 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
     counts = df.groupBy(F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("_neg"), F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("_pos"))
     return counts.crossJoin(F.broadcast(total)).select("y", "n", (F.col("_n") / (2 * F.col("n"))).alias("weight"), (F.col("_neg") / F.col("_pos")).alias("pos_weight"))  # one row
+
+
+def cost_summary(runs: DataFrame, seed: str, model: str, costs: list[str]) -> DataFrame:
+    """Per model: distinct seeds, mean and maximum of each cost, repeated rows of a seed and model counted once."""
+    once = runs.groupBy(seed, model).agg(*[F.min(c).alias(c) for c in costs])
+    return once.groupBy(model).agg(F.count_distinct(seed).alias("n_seeds"), *[f(c).alias(f"{c}_{n}") for c in costs for f, n in ((F.avg, "mean"), (F.max, "max"))])
+
+
+def latency_ms_per_1000(seconds: float, rows: int) -> float:
+    """Milliseconds for a thousand rows."""
+    if rows <= 0:
+        raise ValueError("no rows")
+    return seconds / rows * 1e6

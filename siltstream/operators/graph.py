@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstream.plans.running import exact_quantiles
 from siltstream.session import materialise
 
 EDGE_CAP = 8192
@@ -225,3 +226,11 @@ def slot_counts(targets: DataFrame) -> DataFrame:
 def completion_overlap(all_edges: DataFrame, bounds: DataFrame) -> DataFrame:
     """(part, n, n_overlapping): flows that complete at or after the end of their part. bounds: (part, end_us)."""
     return all_edges.join(F.broadcast(bounds), "part").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("completion_us") >= F.col("end_us"), 1)).alias("n_overlapping"))  # one row per part
+
+
+def metric_summary(snapshots: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, n, mean, median, p90, maximum) over snapshots, one row each."""
+    values = snapshots.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
+    group = [*keys, "metric"]
+    ranks = exact_quantiles(values, group, "value", [0.5, 0.9], ["median", "p90"])
+    return values.groupBy(*group).agg(F.avg("value").alias("mean"), F.max("value").alias("maximum")).join(ranks, group)

@@ -91,3 +91,9 @@ def sequence_tensor(slots: DataFrame, features: DataFrame, ids: DataFrame, lags:
     rows = ids.select("id").join(features, "id").join(filled, "id", "left")
     steps = [F.when(F.col("m").isNotNull(), F.col("m")[k]) for k in range(lags, 0, -1)]
     return rows.select("id", F.array(*steps, F.col("x")).alias("sequence")).withColumn("mask", F.transform("sequence", lambda s: s.isNotNull()))
+
+
+def coverage_gate(coverage: DataFrame, part: int, y: str, least: int = 10_000) -> bool:
+    """Whether at least ``least`` rows of a part have all of the first 3, and of the first 7, lags filled."""
+    row = coverage.where((F.col("part") == part) & F.col(y).isNull()).first()
+    return row is not None and min(row["all_3"], row["all_7"]) >= least

@@ -110,3 +110,13 @@ def out_of_order(df: DataFrame, keys: list[str], position: str, time: str, row:
     order = Window.partitionBy(*keys).orderBy(position)
     p = F.lag(F.struct(time, row)).over(order)
     return df.where(F.col(time).isNotNull()).withColumn("_p", p).where((F.col(time) < F.col(f"_p.{time}")) | ((F.col(time) == F.col(f"_p.{time}")) & (F.col(row) <= F.col(f"_p.{row}")))).drop("_p")
+
+
+def elapsed_candidates(df: DataFrame, time: str, malicious: Column, choices: list[tuple[float, float]], minutes: int = 10) -> DataFrame:
+    """(train_share, validation_end, part, n, malicious): what splits at several pairs of fractions would hold."""
+    made = None
+    for first, second in choices:
+        rows = elapsed_split(df.withColumn("_m", malicious), time, (first, second), minutes)
+        one = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_m"), 1)).alias("malicious")).select(F.lit(first).alias("train_share"), F.lit(second).alias("validation_end"), "part", "n", "malicious")
+        made = one if made is None else made.unionByName(one)
+    return made

@@ -68,3 +68,12 @@ def close(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], toler
     both = pairs(a).withColumnRenamed("v", "a").join(pairs(b).withColumnRenamed("v", "b"), [*keys, "column_name"], "full")
     same = F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False))
     return both.where(~same)
+
+
+def duplicate_links(events: DataFrame, clean: DataFrame, keys: list[str] = ("source_file", "source_row")) -> DataFrame:
+    """Duplicate events whose retained row is no clean or set-aside record, or does not come earlier."""
+    file, row = keys
+    links = events.where("reason = 'exact_duplicate'").select(F.col(file), F.col(row), F.col("retained_source_row").alias("_kept"))
+    known = clean.select(F.col(file), F.col(row).alias("_kept"), F.lit(1).alias("_known")).distinct()
+    joined = links.join(known, [file, "_kept"], "left")
+    return joined.where(F.col("_known").isNull() | F.col("_kept").isNull() | (F.col("_kept") >= F.col(row))).select(file, row, F.col("_kept").alias("retained_source_row"))

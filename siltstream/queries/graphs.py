@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import number
-from siltstream.operators import cases, graph, history, sequences
+from siltstream.operators import cases, graph, history, picks, sequences
 from siltstream.queries.audit import BASE_SQL, base
 from siltstream.queries.general import TOKEN_SQL, rounded
 from siltstream.queries.scores import SCORED_SQL, scored
@@ -175,7 +175,23 @@ def quota_sample_counts(spark, d):
     return made.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (strided_targets_slot, slot_target_counts, strided_targets_daily, trailing_sequence_l16, cohort_violations, endpoint_join, causal_prefix_edges, node_features, kept_nodes, snapshot_summary, graph_topology, weak_components, component_counts, gat_attention_forward, completion_overlap, history_slots, history_counts, history_coverage, history_violations, history_sequence, quantile_cases, quota_sample_counts)}
+def topology_summary(spark, d):
+    windows = graph.topology(flow_edges(spark, d), 3600).withColumn("day_part", F.floor((F.col("window") % 24) / 12))
+    return rounded(graph.metric_summary(windows, ["day_part"], ["nodes", "edges", "unique_pairs", "density"]))
+
+
+def thinned_scores(spark, d):
+    return rounded(picks.thinned(scored(spark, d), ["split"], "ae", 50))
+
+
+def sampled_flows(spark, d):
+    """Seeded samples, counted: 1,000 rows of all and at most 40 of each family."""
+    s = scored(spark, d)
+    whole = picks.uniform_sample(s, "row_id", 1_000, 42).agg(F.lit("all").alias("sample"), F.count(F.lit(1)).alias("n"))
+    return whole.unionByName(picks.group_sample(s, ["family"], "row_id", 40, 42).groupBy(F.col("family").alias("sample")).agg(F.count(F.lit(1)).alias("n")))
+
+
+QUERIES = {f.__name__: f for f in (strided_targets_slot, slot_target_counts, strided_targets_daily, trailing_sequence_l16, cohort_violations, endpoint_join, causal_prefix_edges, node_features, kept_nodes, snapshot_summary, graph_topology, weak_components, component_counts, gat_attention_forward, completion_overlap, history_slots, history_counts, history_coverage, history_violations, history_sequence, quantile_cases, quota_sample_counts, topology_summary, thinned_scores, sampled_flows)}
 
 _T = TOKEN_SQL.format("flow_duration")
 _DUR = f"case when regexp_full_match({_T}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') and ({_T})::double >= 0 then trunc(({_T})::double)::bigint else 0 end"
@@ -226,6 +242,13 @@ select dst node, {out} from r group by dst"""
 _CASES = " union all ".join(f"select row_id, '{n}' category, {'ae' if n.startswith('AE') else 'rf'} score from z where {t}" for n, t in CATEGORIES.items())
 
 SQL = {
+    "topology_summary": f"""with {EDGES_SQL}, g as (select second // 3600 w, src, dst, count(*) k from e group by all), n as (select w, count(distinct node) nodes from (select w, unnest([src, dst]) node from g) group by 1),
+t2 as (select w % 24 // 12 day_part, sum(k) edges, count(*) unique_pairs, any_value(nodes) nodes, case when any_value(nodes) > 1 then count(*) filter (src != dst) / (any_value(nodes) * (any_value(nodes) - 1))::double else 0 end density from g join n using (w) group by w),
+v as ({' union all '.join(f"select day_part, '{m}' metric, {m}::double v from t2" for m in ('nodes', 'edges', 'unique_pairs', 'density'))})
+select day_part, metric, count(*) n, round(avg(v), 6) mean, round(quantile_cont(v, 0.5), 6) median, round(quantile_cont(v, 0.9), 6) p90, round(max(v), 6) maximum from v group by all""",
+    "thinned_scores": f"""with {SCORED_SQL}, r as (select split, ae, row_number() over (partition by split order by ae) - 1 k, count(*) over (partition by split) n from s)
+select distinct split, k AS "rank", ae AS "value", round((k + 1) / n::double, 6) AS share from r join range(50) i(i) on k = floor((n - 1) * i / greatest(least(50, n) - 1, 1)) and i < n""",
+    "sampled_flows": f"with {SCORED_SQL} select 'all' AS sample, least(count(*), 1000) n from s union all select family, least(count(*), 40) from s group by family",
     "strided_targets_slot": f"with {EDGES_SQL} select part, slot, second AS \"second\", \"row\" from t",
     "slot_target_counts": f"with {EDGES_SQL} select part, slot, count(*) n, min(second) first_second, max(second) last_second from t group by 1, 2",
     "strided_targets_daily": f"with {_POSITIONED} select file_date, position AS \"position\", row_id from q where position >= 63 and (position - 63) % (case when lower(trim(split)) = 'train' then 128 else 8 end) = 0",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import category, number, trimmed
-from siltstream.operators import cleaning, preprocess, splitting
+from siltstream.operators import cleaning, preprocess, splitting, verify
 from siltstream.queries.audit import BASE_SQL, RECORD, base
 from siltstream.queries.general import BLANK_SQL, TOKEN_SQL, rounded
 from siltstream.session import table
@@ -107,7 +107,21 @@ def imputation_counts(spark, d):
     return preprocess.imputation_counts(rows, "split", state)
 
 
-QUERIES = {f.__name__: f for f in (cleaning_events, cleaned_rows, quarantined_rows, stage_counts, cleaning_reconciliation, account_for_every_row, date_split_candidates, chronological_partition, partition_coverage, unseen_labels, split_membership, train_fit_stats, mode_and_vocab, target_encoding_check, transform_apply, imputation_counts)}
+def elapsed_candidates(spark, d):
+    return splitting.elapsed_candidates(table(spark, d, "events"), "ts", F.col("event_type") == "error", [(0.8, 0.9), (0.7, 0.85), (0.6, 0.8)])
+
+
+def duplicate_links(spark, d):
+    rows = classified(spark, d)
+    return verify.duplicate_links(cleaning.audit_events(rows, []), rows.where("reason is null or reason not in ('repeated_header', 'exact_duplicate')"))
+
+
+def cleaned_rule_violations(spark, d):
+    spec = cleaning.CleaningSpec([], ["protocol"], label="label")
+    return verify.cleaned_rules(cleaning.cleaned(classified(spark, d), spec, F.col("flow_timestamp"), F.col("file_date")))
+
+
+QUERIES = {f.__name__: f for f in (cleaning_events, cleaned_rows, quarantined_rows, stage_counts, cleaning_reconciliation, account_for_every_row, date_split_candidates, chronological_partition, partition_coverage, unseen_labels, split_membership, train_fit_stats, mode_and_vocab, target_encoding_check, transform_apply, imputation_counts, elapsed_candidates, duplicate_links, cleaned_rule_violations)}
 
 _REC = ", ".join(RECORD)
 CLASSIFIED_SQL = f"""h as (select *, coalesce(trim(label, {BLANK_SQL}) = 'Label', false) is_header from flows),
@@ -128,6 +142,14 @@ _TRAIN = f"r as (select * replace ({_BYTS} as flow_byts_s, trim(protocol, {BLANK
 _FIT = f"s as ({' union all '.join(f'''select '{c}' column_name, count({c}) observed, coalesce(avg({c}), 0.0) mean, coalesce(stddev_pop(coalesce({c}, (select avg({c}) from r where split = 'train'))), 0.0) sd from r where split = 'train' ''' for c in NUMERIC)})"
 
 SQL = {
+    "elapsed_candidates": " union all ".join(
+        f"""select {a}::double train_share, {z}::double validation_end, part, count(*) n, count(*) filter (event_type = 'error') malicious from (select event_type, case when ts < f then 0 when ts < s then 1 else 2 end part
+  from events cross join (select make_timestamp((floor((a + (b - a) * {a}::double) / 600000000 + 0.5) * 600000000)::bigint) f, make_timestamp((floor((a + (b - a) * {z}::double) / 600000000 + 0.5) * 600000000)::bigint) s
+  from (select epoch_us(min(ts)) a, epoch_us(max(ts)) b from events))) group by part"""
+        for a, z in ((0.8, 0.9), (0.7, 0.85), (0.6, 0.8))
+    ),
+    "duplicate_links": "select '' source_file, 0::bigint source_row, 0::bigint retained_source_row where false",
+    "cleaned_rule_violations": "select '' source_file, 0::bigint source_row, '' AS \"rule\" where false",
     "cleaning_events": f"with {CLASSIFIED_SQL} select source_file, source_row, label, reason, case when {_QUARANTINE} then 'retain_in_non_temporal_quarantine' else 'remove' end disposition, retained_source_row from c where reason is not null",
     "cleaned_rows": f"with {CLASSIFIED_SQL} select round(totlen_fwd_pkts, 6) totlen_fwd_pkts, round(flow_iat_mean, 6) flow_iat_mean, protocol, source_file, source_row, flow_timestamp \"timestamp\", file_date, label attack_label, (coalesce(label, '') != 'Benign')::tinyint target_binary from c where reason is null",
     "quarantined_rows": f"with {CLASSIFIED_SQL} select totlen_fwd_pkts, protocol, source_file, source_row, flow_timestamp \"timestamp\", file_date, label attack_label, (coalesce(label, '') != 'Benign')::tinyint target_binary from c where {_QUARANTINE}",

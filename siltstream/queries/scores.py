@@ -94,7 +94,12 @@ def class_weights(spark, d):
     return rounded(evaluate.class_weights(scored(spark, d), "y"))
 
 
-QUERIES = {f.__name__: f for f in (confusion_metrics, threshold_sweep, select_thresholds, ranking_metrics, roc_pr_points, threshold_grid, benign_thresholds, family_recall, family_recall_pivot, family_ranking, calibration_bins, calibration, score_summary, seed_mean_sd, paired_difference, class_weights)}
+def cost_summary(spark, d):
+    runs = _runs(spark, d).withColumn("cost", F.col("fp") + 10 * F.col("fn"))
+    return rounded(evaluate.cost_summary(runs.where("split = 'test'"), "seed", "model", ["cost", "f1"]))
+
+
+QUERIES = {f.__name__: f for f in (confusion_metrics, threshold_sweep, select_thresholds, ranking_metrics, roc_pr_points, threshold_grid, benign_thresholds, family_recall, family_recall_pivot, family_ranking, calibration_bins, calibration, score_summary, seed_mean_sd, paired_difference, class_weights, cost_summary)}
 
 SCORED_SQL = f"""{BASE_SQL}, s as (select row_id, lower(trim(split)) split, label_key family, (status = 'malicious')::int y,
   coalesce(round(tot_bwd_pkts / (tot_fwd_pkts + tot_bwd_pkts + 1.0)::double, 3), 0) rf, coalesce(round(flow_iat_mean, 0), 0) ae from b where status != 'unclassified')"""
@@ -122,7 +127,7 @@ w as (select *, sum(pos) over (partition by split order by threshold desc)::bigi
 
 
 _RUNS = f"""r as (select 'rf' model, x.* from ({_confusion('rf', 0.5, 'split, row_id % 5')}) x union all select 'ae', y.* from ({_confusion('ae', 30000.0, 'split, row_id % 5')}) y),
-m as (select model, split, "(row_id % 5)" seed, {_div('2 * tp', '2 * tp + fp + fn')} f1, {_div('tp', 'tp + fn')} recall, {_div('fp', 'fp + tn')} false_positive_rate from r)"""
+m as (select model, split, "(row_id % 5)" seed, fp + 10 * fn AS cost, {_div('2 * tp', '2 * tp + fp + fn')} f1, {_div('tp', 'tp + fn')} recall, {_div('fp', 'fp + tn')} false_positive_rate from r)"""
 _FAMILY = """k as (select distinct family from s where split = 'train'), e as (select distinct family from s where family != 'benign'),
 h as (select split, family, count(*) n, count(*) filter (rf >= 0.5) hits from s where split != 'train' group by all),
 f as (select p.split, e.family, case when k.family is null then 'UNSEEN' else 'KNOWN' end status, coalesce(n, 0) n, coalesce(hits, 0) hits, coalesce(n, 0) - coalesce(hits, 0) missed, round(hits / n::double, 6) recall
@@ -160,5 +165,6 @@ z as (select split, count(*) n, avg((rf - y) ** 2) brier, avg(y) * (1 - avg(y))
     "score_summary": f"with {SCORED_SQL} select split, family, count(*) n, round(avg(rf), 6) mean, round(quantile_cont(rf, 0.5), 6) median, {', '.join(f'round(quantile_cont(rf, {p / 100}), 6) p{p}' for p in (75, 90, 95, 99))}, max(rf) maximum, round(avg((rf >= 0.5)::int), 6) recall from s group by all",
     "seed_mean_sd": f"with {SCORED_SQL}, {_RUNS} select model, split, count(distinct seed) n_seeds, round(avg(f1), 6) f1_mean, round(stddev_samp(f1), 6) f1_sd, round(avg(recall), 6) recall_mean, round(stddev_samp(recall), 6) recall_sd from m group by all",
     "paired_difference": f"with {SCORED_SQL}, {_RUNS} select split, seed, {', '.join(f'round(a.{x} - b.{x}, 6) {x}_delta' for x in ('f1', 'recall', 'false_positive_rate'))} from m a join m b using (split, seed) where a.model = 'rf' and b.model = 'ae'",
+    "cost_summary": f"with {SCORED_SQL}, {_RUNS} select model, count(distinct seed) n_seeds, round(avg(cost), 6) cost_mean, max(cost) cost_max, round(avg(f1), 6) f1_mean, round(max(f1), 6) f1_max from m where split = 'test' group by 1",
     "class_weights": f"with {SCORED_SQL}, c as (select y, count(*) n from s group by 1) select y, n, round((select sum(n) from c) / (2 * n)::double, 6) weight, round((select n from c where y = 0) / (select n from c where y = 1)::double, 6) pos_weight from c",
 }
