@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import exact_quantiles, running_totals
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 
 DECILES = [i / 10 for i in range(1, 10)]
 LEAST_SHARE = 1e-6
@@ -39,7 +39,7 @@ def _ks(sides: DataFrame, keys: list[str]) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("a").alias("n_reference"), F.sum("b").alias("n_other"))
     gap = F.abs(F.col("upto_a") / F.col("n_reference") - F.col("upto_b") / F.col("n_other"))
     both = (F.col("n_reference") > 0) & (F.col("n_other") > 0)
-    return up.join(totals, keys).groupBy(*keys, "n_reference", "n_other").agg(F.max(F.when(both, gap)).alias("ks"))
+    return up.join(sized(totals), keys).groupBy(*keys, "n_reference", "n_other").agg(F.max(F.when(both, gap)).alias("ks"))
 
 
 def ks_distance(values: DataFrame, keys: list[str], is_reference: Column) -> DataFrame:
@@ -59,7 +59,7 @@ def _psi(sides: DataFrame, keys: list[str]) -> DataFrame:
     spread = reference.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     edges = spread.join(exact_quantiles(reference, keys, "value", DECILES, names, weight="a").drop("n"), keys, "left")
     edges = edges.select(*keys, "_low", "_high", F.array_distinct(F.array_compact(F.array(*names))).alias("edges"))
-    counts = sides.join(edges, keys)
+    counts = sides.join(sized(edges), keys)
     constant = F.col("_low") == F.col("_high")
     fixed = F.when(F.col("value") < F.col("_low"), 0).when(F.col("value") == F.col("_low"), 1).otherwise(2)
     cut = F.size(F.filter("edges", lambda e: e <= F.col("value")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import exact_quantiles, running_totals
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 
 FPR_CAPS = [0.01, 0.005, 0.001]
 BENIGN_CAPS = [0.05, 0.01, 0.005, 0.001]
@@ -59,7 +59,7 @@ def _with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFra
     if not keys:
         return rows.crossJoin(F.broadcast(totals))  # one row
     key = F.struct(*keys)
-    return rows.withColumn("_k", key).join(totals.withColumn("_k", key).drop(*keys), "_k").drop("_k")
+    return rows.withColumn("_k", key).join(sized(totals.withColumn("_k", key).drop(*keys)), "_k").drop("_k")
 
 
 def threshold_sweep(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:

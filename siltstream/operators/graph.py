@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.plans.running import exact_quantiles
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 
 EDGE_CAP = 8192
 #: Parts in which a snapshot's latest edges are first sought, so that no snapshot is sorted whole in one task.
@@ -55,7 +55,7 @@ def prefixes(history: DataFrame, cuts: DataFrame, window: int, slot: int = 60) -
     width = window * slot
     left = history.withColumn("_w", F.floor(F.col("second") / width))
     right = cuts.select("part", "cutoff", F.floor(F.col("cutoff") / width).alias("_w"))
-    met = left.join(right, ["part", "_w"])
+    met = left.join(sized(right), ["part", "_w"])
     return met.where((F.col("second") < F.col("cutoff")) & (F.col("completion_us") < F.col("cutoff") * 1_000_000)).drop("_w")
 
 

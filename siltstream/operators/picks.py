@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstream.operators.keyed_chunks import number_rows
 from siltstream.plans.running import running_totals
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 
 
 def uniform_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
@@ -28,7 +28,7 @@ def thinned(df: DataFrame, keys: list[str], value: str, points: int) -> DataFram
     counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("_n")), "counts")
     up = running_totals(counts, keys, "value", ["_n"])
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    joined = up.join(totals, keys) if keys else up.crossJoin(F.broadcast(totals))  # one row
+    joined = up.join(sized(totals), keys) if keys else up.crossJoin(F.broadcast(totals))  # one row
     k = F.least(F.lit(points), F.col("_all"))
     at = lambda i: F.floor((F.col("_all") - 1) * i / F.greatest(k - 1, F.lit(1)))
     ranks = F.array_distinct(F.transform(F.sequence(F.lit(0), k - 1), at))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import INTEGER, INFINITE, NAN_TOKENS, NULL_TOKENS, NUMBER, trimmed
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 from siltstream.sources.csv_rejects import judged_lines, split_line
 
 # The names under which each field of an export is known.
@@ -162,7 +162,7 @@ def consistent_table(raw: DataFrame, classes: DataFrame) -> DataFrame:
     judged = judged_lines(raw, classes).where((F.col("source_line") > 1) & (F.size("reasons") == 0))
     fields = file_fields(raw, judged)
     names = fields.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("position", "field"))).alias("names"))
-    lines = judged.select("line_id", "feed", "source_file", "source_line", "fields").join(names, "source_file")
+    lines = judged.select("line_id", "feed", "source_file", "source_line", "fields").join(sized(names, 20_000), "source_file")
     value = F.map_from_arrays(F.transform("names", lambda x: x["field"]), F.col("fields"))
     lines = lines.withColumn("v", value)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstream.operators.keyed_chunks import default_blocks, in_block
-from siltstream.session import materialise
+from siltstream.session import materialise, sized
 
 
 def value_bounds(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
@@ -44,7 +44,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     up = running_totals(counts, keys, "_v", ["_n"])
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("k"))
-    placed = up.withColumn("_k", key).join(totals.withColumn("_k", key).drop(*keys), "_k").drop("_k")
+    placed = up.withColumn("_k", key).join(sized(totals.withColumn("_k", key).drop(*keys)), "_k").drop("_k")
     start, end = F.col("upto__n") - F.col("_n"), F.col("upto__n")
     here = lambda rank: (rank >= start) & (rank < end)
     at = {name: F.lit(q) * (F.col("n") - 1) for q, name in zip(shares, names)}

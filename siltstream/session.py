@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,11 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster without the setting this raises, as executors could not read one another's files.
     """
     context = spark.sparkContext
-    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="siltstream-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
