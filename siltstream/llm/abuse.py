@@ -188,12 +188,14 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, f
             evidence[own] = z[sentence[own]]
         best = np.full(len(held), -30.0)
         np.maximum.at(best, doc, evidence)
-        odds = np.exp(np.clip(best, -30, 30)) * np.where(y, (1 - WRONG_ABUSIVE) / WRONG_ABUSIVE, WRONG_CLEAN / (1 - WRONG_CLEAN))
+        # evidence against a clean verdict counts half: a sentence may seem abusive for the words it shares with one
+        held_against = np.where(y, best, best / 2)
+        odds = np.exp(np.clip(held_against, -30, 30)) * np.where(y, (1 - WRONG_ABUSIVE) / WRONG_ABUSIVE, WRONG_CLEAN / (1 - WRONG_CLEAN))
+        real = (odds / (1 + odds))[doc]
         share = np.exp(evidence - best[doc])
         share /= np.bincount(doc, weights=share, minlength=len(held))[doc]
-        blame = share * (odds / (1 + odds))[doc]
         # of two abusive sentences both answer in full
-        blame = np.where(evidence > CERTAIN, (odds / (1 + odds))[doc], blame)
+        blame = np.where(y[doc] & (evidence > CERTAIN), real, share * real)
     model = _learnt(examples, *weighed(np.ones(len(sentence), dtype=bool)), rng)
     return model.dense(), model.bias
 
