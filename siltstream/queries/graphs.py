@@ -273,13 +273,13 @@ s as (select "day", count(distinct c) strong_components from (select x."day", x.
 select "day", weak_components, strong_components from w join s using ("day")""",
     "gat_attention_forward": _gat_sql(),
     "completion_overlap": f"with {EDGES_SQL}, x as (select part, max(second) * 1000000 en from e group by 1) select part, count(*) n, count(*) filter (completion_us >= en) n_overlapping from e join x using (part) group by 1",
-    "history_slots": f"with {EDGES_SQL}, {_HIST} select id, lag AS \"lag\", history_id, kind from s where history_id is not null",
+    "history_slots": f"with {EDGES_SQL}, {_HIST} select id, lag::int AS \"lag\", history_id, kind from s where history_id is not null",
     "history_counts": f"with {EDGES_SQL}, {_COUNTS} select * from k",
     "history_coverage": f"""with {EDGES_SQL}, {_HIST}, {_COUNTS}, j as (select id, {', '.join(f'count(*) filter (history_id is not null and lag <= {k}) first_{k}' for k in (3, 7, 8))}, {', '.join(f'count(*) filter (kind = {i} and lag <= 7) kind_{i}' for i in (1, 2, 3))} from s group by 1),
 x as (select part, (status = 'malicious')::int y, k.*, j.* exclude (id) from e join k on k.id = e."row" join j on j.id = e."row")
 select part, y, count(*) n, {_COV} from x group by grouping sets ((part, y), (part))""",
     "history_violations": "select 0::bigint id, 0 AS \"lag\", '' problem where false",
-    "history_sequence": f"""with {EDGES_SQL}, {_HIST} select e."row" id, 1 + count(z."row") filled, round(any_value(e.bytes) + coalesce(sum(z.bytes), 0), 4) total from e left join s on s.id = e."row" left join e z on z."row" = s.history_id where e.part = 1 group by e."row" """,
+    "history_sequence": f"""with {EDGES_SQL}, {_HIST} select e."row" id, (1 + count(z."row"))::int filled, round(any_value(e.bytes) + coalesce(sum(z.bytes), 0), 4) total from e left join s on s.id = e."row" left join e z on z."row" = s.history_id where e.part = 1 group by e."row" """,
     "quantile_cases": f"""with {SCORED_SQL}, z as (select *, (rf >= 0.6)::int rf_decision, (ae >= 60000)::int ae_decision from s), x as ({_CASES}), r as (select *, row_number() over (partition by category order by score, row_id) - 1 k, count(*) over (partition by category) n from x),
 c as (select *, abs(k - 0.1::double * (n - 1)) d1, abs(k - 0.5::double * (n - 1)) d5, abs(k - 0.9::double * (n - 1)) d9 from r),
 p1 as (select * from c qualify row_number() over (partition by category order by d1, k) = 1), p5 as (select c.* from c anti join p1 on p1.category = c.category and p1.k = c.k qualify row_number() over (partition by category order by d5, k) = 1),

@@ -161,7 +161,7 @@ union all select source_file, label, 'eligible', count(*) from c where reason is
   union all select source_file, source_row, case when disposition = 'remove' then 'removed' else 'quarantine' end from cleaning_audit)
 select source_file, source_row, count(*) filter (part != '') n, coalesce(string_agg(distinct part, ',' order by part) filter (part != ''), '') parts from p group by all having count(*) filter (part = '') != 1 or count(*) filter (part != '') != 1""",
     "date_split_candidates": f"""with {BASE_SQL}, {_DAYS} select train_end, validation_start, validation_end, test_start, training_attack_classes, round(fraction_absolute_error, 6) fraction_absolute_error, train_rows::bigint train_rows, validation_rows::bigint validation_rows, test_rows::bigint test_rows,
-  train_benign::bigint train_benign, validation_benign::bigint validation_benign, test_benign::bigint test_benign, row_number() over (order by training_attack_classes desc, p.fraction_absolute_error, train_end, validation_end) "rank" from p
+  train_benign::bigint train_benign, validation_benign::bigint validation_benign, test_benign::bigint test_benign, (row_number() over (order by training_attack_classes desc, p.fraction_absolute_error, train_end, validation_end))::int "rank" from p
 where i1 >= 3 and i2 >= 1 and i3 >= 2 and least(train_benign, validation_benign, test_benign) >= 20 and least(train_rows - train_benign, validation_rows - validation_benign, test_rows - test_benign) >= 5""",
     "chronological_partition": """with e as (select epoch_us(min(ts)) a, epoch_us(max(ts)) b from events), c as (select make_timestamp((floor((a + (b - a) * 0.8::double) / 600000000 + 0.5) * 600000000)::bigint) f, make_timestamp((floor((a + (b - a) * 0.9::double) / 600000000 + 0.5) * 600000000)::bigint) s from e),
 p as (select *, case when ts < f then 0 when ts < s then 1 else 2 end part from events cross join c)

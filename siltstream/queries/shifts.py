@@ -113,11 +113,11 @@ _QS = ", ".join(f"round(quantile_cont(v, {q}), 6) {n}" for q, n in ((0.1, "p10")
 SQL = {
     "feature_summary": f"with v as ({_UNPIVOT}) select part split, feature, count(*) n, count(v) observed, round(1 - count(v) / count(*)::double, 6) missing_rate, round(avg(v), 6) mean, round(stddev_pop(v), 6) sd, {_QS} from v group by all",
     "feature_shift": f"with {_FLOWV}, {shift_sql(['validation', 'test'])} select feature, part split, round(ks, 6) ks, round(psi, 6) psi from shift",
-    "topk_shift": f"with {_FLOWV}, {shift_sql(['validation', 'test'])} select feature, part split, round(ks, 6) ks, round(psi, 6) psi, row_number() over (partition by part order by coalesce(ks, 0) desc, psi desc, feature) \"rank\" from shift qualify \"rank\" <= 3",
+    "topk_shift": f"with {_FLOWV}, {shift_sql(['validation', 'test'])} select feature, part split, round(ks, 6) ks, round(psi, 6) psi, (row_number() over (partition by part order by coalesce(ks, 0) desc, psi desc, feature))::int \"rank\" from shift qualify \"rank\" <= 3",
     "nearest_reference": f"""with r as ({_UNPIVOT}), p as (select f.feature, o.part, v.v, (v.part = o.part)::int a from (select distinct feature from r) f cross join (values ('train'), ('validation')) o(part) join r v on v.feature = f.feature and v.part in ('test', o.part) where v.v is not null),
 c as (select feature, part, v, sum(a) a, sum(1 - a) b from p group by all), u as (select feature, part, sum(a) over o / sum(a) over (partition by feature, part)::double - sum(b) over o / sum(b) over (partition by feature, part)::double gap from c window o as (partition by feature, part order by v)),
 k as (select feature, max(abs(gap)) filter (part = 'train') a, max(abs(gap)) filter (part = 'validation') b from u group by 1)
-select feature, round(a, 6) ks_train, round(b, 6) ks_validation, round(least(a, b), 6) least, row_number() over (order by least(a, b) desc, feature) \"rank\" from k""",
+select feature, round(a, 6) ks_train, round(b, 6) ks_validation, round(least(a, b), 6) least, (row_number() over (order by least(a, b) desc, feature))::int "rank" from k""",
     "lineitem_shift": f"""with v as ({' union all '.join(f"select case when l_returnflag = 'N' then 'ref' else l_returnflag end part, '{c}' feature, {c} v from lineitem" for c in ('l_quantity', 'l_extendedprice', 'l_discount'))}), {shift_sql(['A', 'R'])}
 select feature, part l_returnflag, round(ks, 6) ks, round(psi, 6) psi from shift""",
     "family_score_shift": f"""with {SCORED_SQL}, c as (select family, ae v, count(*) filter (split = 'validation') a, count(*) filter (split = 'test') b from s where split != 'train' group by all),
