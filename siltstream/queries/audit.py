@@ -8,6 +8,7 @@ from siltstream.functions.text import category, trimmed
 from siltstream.operators import audit, windows
 from siltstream.queries.general import BLANK_SQL, CATEGORY_SQL, TOKEN_SQL, rounded
 from siltstream.session import table
+from siltstream.streaming import windows as live
 
 PROFILED = ["flow_duration", "flow_byts_s", "flow_pkts_s", "src_ip", "label", "protocol"]
 RECORD = ["file_date", "split", "flow_timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_pkts", "totlen_bwd_pkts", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "init_fwd_win_byts", "label"]
@@ -111,7 +112,12 @@ def user_sessions(spark, d):
     return windows.session_counts(_events(spark, d), "user_id", "ts", 30)
 
 
-QUERIES = {f.__name__: f for f in (quality_profile, special_values, label_status_rules, later_copies, duplicate_summary, document_duplicates, scoped_counts, backward_transitions, anomaly_context, file_times, cardinalities, protocol_shares, window_counts_gapfill_5m, window_counts_10m_rollup, window_pair_recurrence, describe_windows, attack_timeline, attack_episodes, sliding_counts, user_sessions)}
+def live_window_counts(spark, d):
+    stream = live.stream_of(spark, d, "events")
+    return live.written_once(live.live_counts(stream, "ts", 60, F.col("event_type") == "error"))
+
+
+QUERIES = {f.__name__: f for f in (quality_profile, special_values, label_status_rules, later_copies, duplicate_summary, document_duplicates, scoped_counts, backward_transitions, anomaly_context, file_times, cardinalities, protocol_shares, window_counts_gapfill_5m, window_counts_10m_rollup, window_pair_recurrence, describe_windows, attack_timeline, attack_episodes, sliding_counts, user_sessions, live_window_counts)}
 
 _K = CATEGORY_SQL.format("label")
 _NULLS = "'nan', '+nan', '-nan', 'null', 'none', 'na', 'n/a', '#n/a', '<na>'"
@@ -184,6 +190,7 @@ select source_file, count(*) n, min(n) minimum, round(quantile_cont(n, 0.5), 6)
     "attack_episodes": f"""with c as (select {_window(10, 'ts')} w, count(*) n from events group by 1 having count(*) filter (event_type = 'error') > 0),
 i as (select *, epoch(w)::bigint // 600 - row_number() over (order by w) g from c)
 select min(w) episode_start, max(w) + interval '10 minutes' episode_end, count(*) n_windows, sum(n)::bigint n from i group by g""",
+    "live_window_counts": f"select {_window(60, 'ts')} window_start, count(*) n, count(*) filter (event_type = 'error') n_malicious from events group by 1",
     "sliding_counts": "select window_start, count(*) n from (select unnest([time_bucket(interval '15 minutes', ts) - k * interval '15 minutes' for k in range(4)]) window_start from events) group by 1",
     "user_sessions": """with s as (select user_id, ts, coalesce(ts >= lag(ts) over w + interval '30 minutes', true)::int new from events window w as (partition by user_id order by ts)),
 g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) k from s)

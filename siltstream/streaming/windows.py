@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstream.session import checkpoint_dir
+
 
 def live_counts(stream: DataFrame, time: str, minutes: int, malicious: Column, late: str = "10 minutes", slide: int | None = None) -> DataFrame:
     """(window_start, n, n_malicious) of tumbling, or with slide of overlapping, windows; rows later than ``late`` are
@@ -57,3 +61,32 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete", checkpoint: s
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def stream_of(spark: SparkSession, directory: str, name: str, files_per_batch: int = 1) -> DataFrame:
+    """A table, one Parquet file or a folder of them, as a stream of its files."""
+    path = f"{directory}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    # a stream reads folders; a single file is picked from its folder by name
+    folder = os.path.isdir(path.removeprefix("file:"))
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+
+
+def written_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that is available now, as a table in the shared folder: the last batch of complete mode replaces those
+    before it, so a batch run again after a failure changes nothing."""
+    spark = stream.sparkSession
+    place = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    batches: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{place}/out/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        batches.append(path)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(batches[-1]) if mode == "complete" else spark.read.schema(stream.schema).parquet(*batches)

@@ -224,3 +224,18 @@ def test_live_windows(spark, tmp_path):
     assert sum(r.n for r in seen) == 200 and all(r.backward_steps > 0 for r in seen)
     unique = live.run_once(live.live_duplicates(stream.withColumn("k", F.col("id") % 10), ["k"], "ts"), "live_unique", "append").collect()
     assert len(unique) == 10
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_live_table(spark, tmp_path, folder):
+    df = spark.createDataFrame([(i, datetime(2029, 1, 1, 0, i % 50)) for i in range(100)], "id int, ts timestamp")
+    df.repartition(3 if folder else 1).write.parquet(str(tmp_path / "raw"))
+    if folder:
+        (tmp_path / "raw").rename(tmp_path / "t.parquet")
+    else:
+        next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "t.parquet")
+    stream = live.stream_of(spark, str(tmp_path), "t")
+    got = live.written_once(live.live_counts(stream, "ts", 10, F.col("id") < 10)).collect()
+    assert len(got) == 5 and sum(r.n for r in got) == 100 and sum(r.n_malicious for r in got) == 10
+    rows = live.written_once(live.stream_of(spark, str(tmp_path), "t").select("id"), "append")
+    assert rows.count() == 100
