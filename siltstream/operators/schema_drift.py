@@ -37,6 +37,8 @@ ALIASES = {
 }
 #: Words that mean the same in the name of a field that is no listed alias.
 SAME_WORDS = {"source": "src", "origin": "src", "destination": "dst", "dest": "dst", "target": "dst", "address": "ip", "addr": "ip", "packets": "pkts", "bytes": "byts", "total": "tot", "duration": "dur"}
+#: A fraction other than zero: durations in microseconds are whole, so a file with one gives milliseconds.
+FRACTION = r"^[+-]?[0-9]*\.[0-9]*[1-9][0-9]*$"
 PROTOCOLS = {"hopopt": 0, "icmp": 1, "tcp": 6, "udp": 17}
 TYPES = ["integer", "decimal", "text"]
 
@@ -68,9 +70,9 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def file_fields(raw: DataFrame, judged: DataFrame) -> DataFrame:
-    """(feed, source_file, file_seq, position, name, field, value_type): one row per field of a file's header.
+    """(feed, source_file, file_seq, position, name, field, value_type, fractional): one row per field of a file's header.
 
-    value_type covers all values of the lines without a reason in judged; null if there are none. Of several
+    value_type and fractional (whether any value has a fraction) cover all values of the lines without a reason in judged; null if there are none. Of several
     names for one field the first is kept, the others count as fields of their own name. Written to the shared
     folder, as both sides of a comparison read it.
     """
@@ -81,9 +83,9 @@ def file_fields(raw: DataFrame, judged: DataFrame) -> DataFrame:
     fields = fields.withColumn("field", F.when(first == 1, F.col("field")).otherwise(F.concat(F.lit("="), F.col("name"))))
     sound = judged.where((F.col("source_line") > 1) & (F.size("reasons") == 0))
     values = sound.select("source_file", F.posexplode("fields").alias("position", "value"))
-    types = values.groupBy("source_file", "position").agg(F.max(value_type(F.col("value"))).alias("kind"))
+    types = values.groupBy("source_file", "position").agg(F.max(value_type(F.col("value"))).alias("kind"), F.bool_or(trimmed(F.col("value")).rlike(FRACTION)).alias("fractional"))
     kind = F.when(F.col("kind") == 0, TYPES[0]).when(F.col("kind") == 1, TYPES[1]).when(F.col("kind") == 2, TYPES[2]).alias("value_type")
-    typed = fields.join(types, ["source_file", "position"], "left").select("feed", "source_file", "file_seq", "position", "name", "field", kind)
+    typed = fields.join(types, ["source_file", "position"], "left").select("feed", "source_file", "file_seq", "position", "name", "field", kind, F.coalesce("fractional", F.lit(False)).alias("fractional"))
     return materialise(typed, "fields")
 
 
@@ -150,47 +152,67 @@ def _address(value: Column) -> Column:
 
 def _whole(value: Column) -> Column:
     hexadecimal = F.conv(F.regexp_extract(value, r"(?i)^0x([0-9a-f]+)$", 1), 16, 10).try_cast("bigint")
-    return F.when(value.rlike(r"(?i)^0x[0-9a-f]+$"), hexadecimal).otherwise(value.try_cast("double").try_cast("bigint"))
+    real = value.try_cast("double")
+    return F.when(value.rlike(r"(?i)^0x[0-9a-f]+$"), hexadecimal).otherwise(F.when(real == F.floor(real), real.try_cast("bigint")))
+
+
+def _port(value: Column) -> Column:
+    """A port in any of its forms: 80, 80.0, 0x50, p80, tcp/80."""
+    return _whole(F.regexp_replace(value, r"(?i)^(?:p|[a-z]+/)(?=[0-9]+$)", ""))
 
 
 def consistent_table(raw: DataFrame, classes: DataFrame) -> DataFrame:
     """The sound lines of all files in the canonical fields; fields of no canonical name go into a map, extra.
 
-    Missing fields are null, tokens without a value too. Casts: integer addresses become dotted, hexadecimal and
-    decimal ports whole, protocol names numbers; durations stay in the file's own unit.
+    Missing fields are null, tokens without a value too. Casts: integer addresses become dotted, ports in any form
+    whole, protocol names numbers, durations microseconds; duration_unit is the unit of the line's file. Values that
+    are there but don't cast, infinite ones too, are null and kept as written in a map, uncast.
     """
     judged = judged_lines(raw, classes).where((F.col("source_line") > 1) & (F.size("reasons") == 0))
     fields = file_fields(raw, judged)
-    names = fields.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("position", "field"))).alias("names"))
+    milliseconds = F.bool_or((F.col("field") == "flow_duration") & F.col("fractional"))
+    names = fields.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("position", "field"))).alias("names"), F.when(milliseconds, "ms").otherwise("us").alias("duration_unit"))
     lines = judged.select("line_id", "feed", "source_file", "source_line", "fields").join(sized(names, 20_000), "source_file")
     value = F.map_from_arrays(F.transform("names", lambda x: x["field"]), F.col("fields"))
     lines = lines.withColumn("v", value)
 
-    def get(name: str) -> Column:
+    def written(name: str) -> Column:
         token = trimmed(F.col("v")[name])
-        absent = (token == "") | F.lower(token).isin(NAN_TOKENS + NULL_TOKENS) | F.lower(token).rlike(INFINITE)
-        return F.when(~absent, token)
+        return F.when(~((token == "") | F.lower(token).isin(NAN_TOKENS + NULL_TOKENS)), token)
+
+    def get(name: str) -> Column:
+        token = written(name)
+        return F.when(~F.lower(token).rlike(INFINITE), token)
 
     protocols = F.create_map(*[F.lit(x) for x in chain(*PROTOCOLS.items())])
-    real = lambda name: get(name).try_cast("double").alias(name)
+    real = lambda name: get(name).try_cast("double")
+    scale = F.when(F.col("duration_unit") == "ms", 1000.0).otherwise(1.0)
+    cast = {
+        "flow_timestamp": F.try_to_timestamp(get("timestamp"), F.lit("dd/MM/yyyy HH:mm:ss")),
+        "src_ip": _address(get("src_ip")),
+        "src_port": _port(get("src_port")),
+        "dst_ip": _address(get("dst_ip")),
+        "dst_port": _port(get("dst_port")),
+        "protocol": F.coalesce(protocols[F.lower(get("protocol"))].cast("bigint"), _whole(get("protocol"))),
+        "flow_duration": F.round(real("flow_duration") * scale, 3),
+        "tot_fwd_pkts": _whole(get("tot_fwd_pkts")),
+        "tot_bwd_pkts": _whole(get("tot_bwd_pkts")),
+        "totlen_fwd_pkts": real("totlen_fwd_pkts"),
+        "totlen_bwd_pkts": real("totlen_bwd_pkts"),
+        "flow_byts_s": real("flow_byts_s"),
+        "flow_pkts_s": real("flow_pkts_s"),
+        "label": F.regexp_replace(get("label"), r"\s+", " "),
+    }
+    lines = lines.select("*", *[c.alias(name) for name, c in cast.items()])
+    field = {"flow_timestamp": "timestamp"}
+    lost = F.map_from_entries(F.array_compact(F.array(*[F.when(written(field.get(n, n)).isNotNull() & F.col(n).isNull(), F.struct(F.lit(n), written(field.get(n, n)))) for n in cast])))
     return lines.select(
         "line_id",
         "feed",
         "source_file",
         "source_line",
-        F.try_to_timestamp(get("timestamp"), F.lit("dd/MM/yyyy HH:mm:ss")).alias("flow_timestamp"),
-        _address(get("src_ip")).alias("src_ip"),
-        _whole(get("src_port")).alias("src_port"),
-        _address(get("dst_ip")).alias("dst_ip"),
-        _whole(get("dst_port")).alias("dst_port"),
-        F.coalesce(protocols[F.lower(get("protocol"))].cast("bigint"), _whole(get("protocol"))).alias("protocol"),
-        real("flow_duration"),
-        _whole(get("tot_fwd_pkts")).alias("tot_fwd_pkts"),
-        _whole(get("tot_bwd_pkts")).alias("tot_bwd_pkts"),
-        real("totlen_fwd_pkts"),
-        real("totlen_bwd_pkts"),
-        real("flow_byts_s"),
-        real("flow_pkts_s"),
-        F.regexp_replace(get("label"), r"\s+", " ").alias("label"),
+        *cast,
+        "duration_unit",
         F.to_json(F.map_filter("v", lambda k, _: ~k.isin(*ALIASES))).alias("extra"),
+        F.to_json(lost).alias("uncast"),
     )

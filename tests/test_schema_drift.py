@@ -55,3 +55,18 @@ def test_empty_and_unknown_names(spark):
     names = ["DestinationAddress", "destination ip", "Vlan Tag", "vlan_tag", "Flow Bytes/s"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(S.canonical(F.col("n"))).collect()]
     assert got == ["dst_ip", "dst_ip", "vlan_tag", "vlan_tag", "flow_byts_s"]
+
+
+def test_ports_and_durations_in_all_forms(spark):
+    head = "Label,Timestamp,Src Port,Flow Duration,Flow Byts/s"
+    files = [
+        ("us", [head, f"Benign,{TS},p34323,334310,1.5", f"Benign,{TS},tcp/23894,907.0,Infinity", f"Benign,{TS},eighty,12us,NaN", f"Benign,{TS},80.5,,"]),
+        ("ms", [head.replace("Flow Duration", "FlowDur"), f"Benign,{TS},TCP/80,107.075,2", f"Benign,{TS},P81,155,null"]),
+    ]
+    rows = {(r.source_file, r.source_line): r for r in S.consistent_table(raw(spark, files), classes(spark)).collect()}
+    assert [rows["us", i].src_port for i in (2, 3, 4, 5)] == [34323, 23894, None, None]
+    assert [rows["ms", i].src_port for i in (2, 3)] == [80, 81]
+    assert [rows["us", i].flow_duration for i in (2, 3, 4)] == [334310.0, 907.0, None]
+    assert [(rows["ms", i].flow_duration, rows["ms", i].duration_unit) for i in (2, 3)] == [(107075.0, "ms"), (155000.0, "ms")]
+    assert rows["us", 2].uncast == rows["ms", 3].uncast == "{}" and rows["us", 3].uncast == '{"flow_byts_s":"Infinity"}'
+    assert rows["us", 4].uncast == '{"src_port":"eighty","flow_duration":"12us"}' and rows["us", 5].uncast == '{"src_port":"80.5"}'
