@@ -91,7 +91,7 @@ def graph_topology(spark, d):
 
 def _event_pairs(spark, d):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    return table(spark, d, "events").select(F.to_date("ts").cast("string").alias("day"), F.col("user_id").alias("src"), k.alias("dst")).where("dst > 80")
+    return table(spark, d, "events").select(F.to_date("ts").cast("string").alias("day"), F.col("user_id").alias("src"), k.alias("dst")).where("src is not null and dst is not null")
 
 
 def weak_components(spark, d):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.operators import cases, graph, history, sequences, verify
+from siltstream.queries import graphs
 from siltstream.streaming import windows as live
 
 EDGE = "part int, second bigint, completion_us bigint, src int, dst int, protocol int, src_port int, dst_port int, bytes double, row bigint"
@@ -239,3 +240,20 @@ def test_live_table(spark, tmp_path, folder):
     assert len(got) == 5 and sum(r.n for r in got) == 100 and sum(r.n_malicious for r in got) == 10
     rows = live.written_once(live.stream_of(spark, str(tmp_path), "t").select("id"), "append")
     assert rows.count() == 100
+
+
+def test_component_queries_take_every_link(spark, tmp_path):
+    rng = random.Random(9)
+    links = [(day, rng.randrange(200, 240), rng.randrange(100)) for day in (1, 2) for _ in range(35)]
+    events = spark.createDataFrame([(datetime(2024, 1, day, 5), a, f'{{"k": {b}}}') for day, a, b in links], "ts timestamp, user_id bigint, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    owner = {(day, n): n for day, a, b in links for n in (a, b)}
+    for _ in owner:
+        for day, a, b in links:
+            owner[day, a] = owner[day, b] = min(owner[day, a], owner[day, b])
+    got = graphs.weak_components(spark, str(tmp_path)).collect()
+    assert {(int(r.day[-2:]), r.node): r.component for r in got} == owner and len(got) == len(owner)
+    counts = {int(r.day[-2:]): (r.weak_components, r.strong_components) for r in graphs.component_counts(spark, str(tmp_path)).collect()}
+    nodes = lambda day: [n for d, n in owner if d == day]
+    # users and values are disjoint, so no link leads back and every node is a strong component
+    assert counts == {day: (len({owner[day, n] for n in nodes(day)}), len(nodes(day))) for day in (1, 2)}
