@@ -133,7 +133,7 @@ def model_graph_attention(spark, d, kind="gat"):
     rows, features = prepared(spark, d)
     known = rows.select(F.col("row_id").alias("row"), "y", "split", F.array(*features).alias("x"))
     prefix, targets = _prefix(spark, d)
-    messages = graph.latest_edges(prefix, 512)
+    messages = graph.latest_edges(prefix)
     wanted = targets.select("part", (F.col("slot") * SLOT + OFFSET).alias("cutoff"), "row", "src", "dst").join(known.select("row", "y"), "row")
     nodes = graph.kept_nodes(graph.node_features(prefix), messages, targets, SLOT, OFFSET)
     data = snapshots.snapshot_rows(nodes, messages, supervised.weighted(wanted, "y"), known)

@@ -68,7 +68,7 @@ def _prefix(spark, d, window=6):
 
 def causal_prefix_edges(spark, d):
     prefix, _ = _prefix(spark, d)
-    return graph.latest_edges(prefix, 20).select("part", "cutoff", "row", "second", "completion_us")
+    return graph.latest_edges(prefix).select("part", "cutoff", "row", "second", "completion_us")
 
 
 def node_features(spark, d):
@@ -77,12 +77,12 @@ def node_features(spark, d):
 
 def kept_nodes(spark, d):
     prefix, t = _prefix(spark, d)
-    return rounded(graph.kept_nodes(graph.node_features(prefix), graph.latest_edges(prefix, 20), t, SLOT, OFFSET).select("part", "cutoff", "node", "in_count", "out_bytes"))
+    return rounded(graph.kept_nodes(graph.node_features(prefix), graph.latest_edges(prefix), t, SLOT, OFFSET).select("part", "cutoff", "node", "in_count", "out_bytes"))
 
 
 def snapshot_summary(spark, d):
     prefix, t = _prefix(spark, d)
-    return graph.snapshot_summary(prefix, graph.latest_edges(prefix, 20), t, SLOT, OFFSET)
+    return graph.snapshot_summary(prefix, graph.latest_edges(prefix), t, SLOT, OFFSET)
 
 
 def graph_topology(spark, d):

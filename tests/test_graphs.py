@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.operators import cases, graph, history, sequences, verify
-from siltstream.queries import graphs
+from siltstream.queries import detectors, graphs
+from siltstream.queries.graphs import SLOT
 from siltstream.streaming import windows as live
 
 EDGE = "part int, second bigint, completion_us bigint, src int, dst int, protocol int, src_port int, dst_port int, bytes double, row bigint"
@@ -257,3 +258,29 @@ def test_component_queries_take_every_link(spark, tmp_path):
     nodes = lambda day: [n for d, n in owner if d == day]
     # users and values are disjoint, so no link leads back and every node is a strong component
     assert counts == {day: (len({owner[day, n] for n in nodes(day)}), len(nodes(day))) for day in (1, 2)}
+
+
+def test_snapshot_queries_keep_the_latest_8192(spark, monkeypatch):
+    rows = [(1 + i % 200, (i % 200) * 1_000_000, i % 7, 10 + i % 600, i, 1) for i in range(8_200)] + [(SLOT - 10, SLOT * 1_000_000, 1, 2, 9_000, 1)]
+    monkeypatch.setattr(graphs, "flow_edges", lambda *_: edges(spark, rows))
+    kept = {r.row for r in graphs.causal_prefix_edges(spark, "").collect()}
+    assert kept == {r[4] for r in sorted(rows[:-1], key=lambda r: (r[1], r[4]))[-8192:]}
+    s = graphs.snapshot_summary(spark, "").first()
+    assert (s.history_edges, s.message_edges) == (8_200, 8_192)
+    ends = {n for r in rows if r[4] in kept or r[4] == 9_000 for n in r[2:4]}
+    assert {r.node for r in graphs.kept_nodes(spark, "").collect()} == ends
+
+
+def test_model_graph_attention_reads_the_latest_8192(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def latest(prefix, cap=graph.EDGE_CAP):
+        raise Asked(cap)
+
+    known = spark.createDataFrame([(1, 0, "train", 0.5)], "row_id bigint, y int, split string, f double")
+    monkeypatch.setattr(detectors, "prepared", lambda *_: (known, ["f"]))
+    monkeypatch.setattr(detectors, "_prefix", lambda *_: (None, None))
+    monkeypatch.setattr(graph, "latest_edges", latest)
+    with pytest.raises(Asked, match="^8192$"):
+        detectors.model_graph_attention(spark, "")
