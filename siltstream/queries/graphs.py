@@ -147,7 +147,7 @@ def history_violations(spark, d):
 
 def history_sequence(spark, d):
     rows = _observed(spark, d)
-    made = history.sequence_tensor(history.history_slots(rows, 8, SLOT, OFFSET), rows.select("id", F.array("bytes").alias("x")), rows.where("part = 1"))
+    made = history.sequence_tensor(history.history_slots(rows, 8, SLOT, OFFSET), rows.select("id", F.array("bytes").alias("x")), rows)
     return made.select("id", F.size(F.filter("mask", lambda m: m)).alias("filled"), F.round(F.aggregate("sequence", F.lit(0.0), lambda a, s: a + F.coalesce(F.get(s, F.lit(0)), F.lit(0.0))), 4).alias("total"))
 
 

@@ -284,3 +284,10 @@ def test_model_graph_attention_reads_the_latest_8192(spark, monkeypatch):
     monkeypatch.setattr(graph, "latest_edges", latest)
     with pytest.raises(Asked, match="^8192$"):
         detectors.model_graph_attention(spark, "")
+
+
+def test_history_sequence_of_all_partitions(spark, monkeypatch):
+    rows = [(p, 600 * k + 10, (600 * k + 10) * 1_000_000, 1, 2, 6, 80, 80, 1.0, 10 * p + k) for p in range(3) for k in range(2)]
+    monkeypatch.setattr(graphs, "flow_edges", lambda *_: spark.createDataFrame(rows, EDGE))
+    got = {r.id: (r.filled, r.total) for r in graphs.history_sequence(spark, "").collect()}
+    assert got == {10 * p + k: (k + 1, k + 1.0) for p in range(3) for k in range(2)}

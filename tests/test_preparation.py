@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.operators import cleaning, preprocess, splitting, verify
+from siltstream.queries import preparation
 from siltstream.sources import flow_files, sinks
 
 HEADER = "Timestamp,Label,Protocol,Flow Byts/s,Flow Pkts/s,measurement,encoded,copied_label"
@@ -173,3 +174,12 @@ def test_artefacts(tmp_path):
     sinks.write_json(path, {"raw": "/r", "output": "/o", "fractions": [0.5, 0.3, 0.3]})
     with pytest.raises(ValueError, match="add up"):
         sinks.load_config(path)
+
+
+def test_transform_apply_covers_all_splits(spark, monkeypatch):
+    rows = [(i, split, float(i), 1.0, 2.0, 3.0, "6", "benign") for i, split in enumerate(["train", "train", "validation", "test", None])]
+    made = spark.createDataFrame(rows, "row_id bigint, split string, totlen_fwd_pkts double, totlen_bwd_pkts double, flow_iat_mean double, flow_byts_s double, protocol string, label_key string")
+    monkeypatch.setattr(preparation, "_train", lambda *_: made)
+    got = {r.row_id: r.totlen_fwd_pkts for r in preparation.transform_apply(spark, "").collect()}
+    # fitted on 0 and 1 of the train split only
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[0] == -got[1] and got[2] == pytest.approx(3 * got[1])
