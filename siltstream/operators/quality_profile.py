@@ -177,34 +177,57 @@ def doubtful(flows: DataFrame, report: DataFrame, columns: list[str] = MEASURES)
     return both.select("source_file", "column_name", F.explode(found).alias("finding"))
 
 
-def column_profile(flows: DataFrame) -> DataFrame:
-    """Per source_file and column of flows: rows, nulls, distinct values, least and greatest value, quartiles.
-
-    Numbers and times are ordered by value, text (after the comparison rule of categories) by code units, both
-    given as text. Quartiles of numbers are linear between ranks, else the lower rank. A column that is all null
-    has 0 distinct values and null quantiles; nested columns are left out.
-    """
+def _kinds(flows: DataFrame) -> tuple[dict[str, str], list[str], list[str]]:
+    """Type names of the columns, and the columns that are ordered as numbers and as text."""
     kinds = {f.name: f.dataType.typeName() for f in flows.schema.fields}
     texts = [c for c, k in kinds.items() if k in ("string", "boolean", "binary") and c != "source_file" and c not in MEASURES]
-    numbers = [c for c, k in kinds.items() if k in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz") or k.startswith("decimal")] + [c for c in MEASURES if c in kinds]
+    numbers = [c for c, k in kinds.items() if k in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz") or k.startswith("decimal")] + [c for c in MEASURES if kinds.get(c) == "string"]
+    return kinds, numbers, texts
+
+
+def _real(kinds: dict[str, str], c: str) -> Column:
+    if c in MEASURES and kinds[c] == "string":
+        return number(F.col(c))
+    if kinds[c] == "date":
+        return F.unix_date(F.col(c)).cast("double")
+    if kinds[c].startswith("timestamp"):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return F.col(c).cast("double")
+
 
-    def real(c: str) -> Column:
-        if c in MEASURES and kinds[c] == "string":
-            return number(F.col(c))
-        if kinds[c] == "date":
-            return F.unix_date(F.col(c)).cast("double")
-        if kinds[c].startswith("timestamp"):
-            return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-        return F.col(c).cast("double")
+def _text(c: str) -> Column:
+    return category(F.col(c).cast("string"))
+
+
+TOKENS = {"n_blank": "missing", "n_nan": "nan", "n_null_marker": "null_marker", "n_infinite": "infinite", "n_other": "other"}
+
+
+def column_profile(flows: DataFrame) -> DataFrame:
+    """Per source_file and column of flows: rows, nulls, tokens, distinct values, least and greatest value, quartiles.
+
+    n_null counts real nulls; n_blank, n_nan, n_null_marker and n_infinite tokens of text and floating columns, n_other
+    what is no number in a text measure. Numbers and times are ordered by value, text (after the comparison rule of
+    categories) by code units, both given as text. Quartiles of numbers are linear between ranks, else the lower rank.
+    A column that is all null has 0 distinct values and null quantiles; nested columns are left out.
+    """
+    kinds, numbers, texts = _kinds(flows)
 
     def profile(columns: list[str], pick) -> DataFrame:
-        nulls = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(pick(c)).alias("n_values")) for c in columns])
-        counts = flows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), nulls.alias("x")).select("source_file", "n_rows", F.inline("x"))
+        classed = [c for c in columns if kinds[c] in ("string", "float", "double")]
+        rows = flows.select("source_file", *[F.col(c).isNull().alias(f"null_{c}") for c in columns], *[token_class(F.col(c).cast("string")).alias(f"class_{c}") for c in classed])
+
+        def tokens(c: str, name: str) -> Column:
+            if c not in classed or (name == "n_other" and c not in MEASURES):
+                return F.lit(0).cast("bigint").alias(name)
+            return F.count_if((F.col(f"class_{c}") == TOKENS[name]) & ~F.col(f"null_{c}")).alias(name)
+
+        nulls = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(f"null_{c}")).alias("n_null"), *[tokens(c, name) for name in TOKENS]) for c in columns])
+        counts = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), nulls.alias("x")).select("source_file", "n_rows", F.inline("x"))
         ordered = range_sorted(_groups(flows, columns, pick))
         full = _with_order(counts.withColumn("gid", F.xxhash64("source_file", "column_name")), ordered, [0.0, 0.25, 0.5, 0.75, 1.0])
-        return full.select("source_file", "column_name", "n_rows", (F.col("n_rows") - F.col("n_values")).alias("n_null"), "n_distinct", *[F.col(a).cast("string").alias(b) for a, b in (("q00", "least"), ("q25", "q25"), ("q50", "q50"), ("q75", "q75"), ("q100", "greatest"))])
+        return full.select("source_file", "column_name", "n_rows", "n_null", *TOKENS, "n_distinct", *[F.col(a).cast("string").alias(b) for a, b in (("q00", "least"), ("q25", "q25"), ("q50", "q50"), ("q75", "q75"), ("q100", "greatest"))])
 
-    return profile(numbers, real).unionByName(profile(texts, lambda c: category(F.col(c).cast("string"))))
+    return profile(numbers, lambda c: _real(kinds, c)).unionByName(profile(texts, _text))
 
 
 def _curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +257,26 @@ def _curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.int64()) for x in cols[1:4]], *[pa.array([float(y) for y in x], pa.float64()) for x in cols[4:]]], ["pid", "gid", "c", "p", "high", "low"])
 
 
-def load_distances(flows: DataFrame, columns: list[str] = MEASURES) -> DataFrame:
-    """(source_file, column_name, earlier, n, n_earlier, ks): the exact two-sample KS distance of each text
-    measure's numbers between a file and the same site's file of the day before. Null where a side is empty."""
+def load_distances(flows: DataFrame) -> DataFrame:
+    """(source_file, column_name, earlier, n, n_earlier, ks): the exact two-sample KS distance of each column between a
+    file and the same site's file of the day before. Null where a side is empty.
+
+    Numbers (finite ones) and times are ordered by value, text (after the comparison rule of categories) by code units.
+    """
+    kinds, numbers, texts = _kinds(flows)
+
+    def finite(c: str) -> Column:
+        x = _real(kinds, c)
+        return F.when(F.abs(x) < float("inf"), x + F.lit(0.0))
+
+    made = [_distances(flows, columns, pick) for columns, pick in ((numbers, finite), (texts, _text)) if columns]
+    return made[0].unionByName(made[1]) if len(made) > 1 else made[0]
+
+
+def _distances(flows: DataFrame, columns: list[str], pick) -> DataFrame:
     pairs = group_names(flows, columns).join(file_sites(flows), "source_file").where("earlier is not null")
     pairs = pairs.select("gid", "source_file", "column_name", "earlier", F.xxhash64("earlier", F.col("column_name")).alias("old_gid"))
-    values = _groups(flows, columns, lambda c: number(F.col(c))).where("v is not null")
+    values = _groups(flows, columns, pick).where("v is not null")
     counted = materialise(values.groupBy("gid", "v").agg(F.count(F.lit(1)).alias("n")), "counted")
     totals = counted.groupBy("gid").agg(F.sum("n").alias("n"))
     sides = pairs.join(totals.withColumnRenamed("n", "tc"), "gid", "left").join(totals.select(F.col("gid").alias("old_gid"), F.col("n").alias("tp")), "old_gid", "left")

@@ -84,3 +84,18 @@ def test_column_profile_and_empty(spark, data):
     assert got["f1_site1.csv", "gid"].n_distinct == 1 and got["f1_site1.csv", "gid"].least == "clash"
     empty = spark.createDataFrame([], FLOWS)
     assert Q.doubtful(empty, spark.createDataFrame([], REPORT)).count() == 0 and Q.load_distances(empty).count() == 0 and Q.column_profile(empty).count() == 0
+
+
+def test_all_columns_are_compared_and_tokens_told_from_nulls(spark):
+    kinds = "source_file string, file_date date, flow_duration string, protocol string, flow_iat_mean double, dst_port int"
+    day = lambda f, d, rows: [(f, date(2029, 1, d), *r) for r in rows]
+    rows = day("a_site1", 1, [("1", "tcp", 1.0, 80), ("nan", "tcp", 2.0, 80), ("inf", "udp", math.nan, None), (None, " ", 3.0, 80), ("n/a", None, 4.0, 80), ("odd", "TCP", 5.0, 80)])
+    rows += day("b_site1", 2, [("1", "udp", 9.0, 81), ("1", "udp", 8.0, 81)])
+    df = spark.createDataFrame(rows, kinds)
+    ks_of = {r.column_name: r.ks for r in Q.load_distances(df).collect() if r.source_file == "b_site1"}
+    assert ks_of == {"file_date": 1.0, "flow_duration": 0.0, "protocol": pytest.approx(0.8), "flow_iat_mean": 1.0, "dst_port": 1.0}
+    got = {r.column_name: r for r in Q.column_profile(df).collect() if r.source_file == "a_site1"}
+    names = ["n_null", "n_blank", "n_nan", "n_null_marker", "n_infinite", "n_other"]
+    tokens = {c: [r[n] for n in names] for c, r in got.items()}
+    assert tokens["flow_duration"] == [1, 0, 1, 1, 1, 1] and tokens["protocol"] == [1, 1, 0, 0, 0, 0]
+    assert tokens["flow_iat_mean"] == [0, 0, 1, 0, 0, 0] and tokens["dst_port"] == [1, 0, 0, 0, 0, 0]
