@@ -40,6 +40,10 @@ def p5_found(spark, d):
     return csv_rejects.rejected_lines(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
 
 
+def p5_loaded(spark, d):
+    return csv_rejects.loaded_lines(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
+
+
 def p6_found(spark, d):
     return quality_profile.doubtful(table(spark, d, "flows"), table(spark, d, "data_quality_report"))
 
@@ -131,6 +135,9 @@ x as (select g.*, n, n_earlier, sum(c) over (partition by g.source_file, g.colum
 select source_file, column_name, earlier, n::bigint n, n_earlier::bigint n_earlier, round(max(abs(gap)), 6) ks from x group by all""",
     "p5_found": f"""with {LINES_SQL} select line_id, problem reason from j where problem is not null
 union all select line_id, 'invalid_timestamp' from w where bad_ts union all select line_id, 'invalid_label' from w where bad_label""",
+    "p5_loaded": f"""with {LINES_SQL} select line_id, feed, source_file, source_line, strptime({_STAMP}, '%d/%m/%Y %H:%M:%S') flow_timestamp, label_key as label,
+  len(fields)::int n_fields, array_to_string(list_transform(fields, lambda x, i: case when i = list_position(hf, 'Timestamp') then {_STAMP.replace("ts", "x")} else x end), chr(31)) field_values
+from w where not bad_ts and not bad_label""",
     "p4_found": f"""with {DRIFT_SQL}
 select source_file, 'added' change_kind, name field_name from b where old_name is null
 union all select source_file, 'removed', old_name from b where name is null
