@@ -36,6 +36,10 @@ def p4_consistent_table(spark, d):
     return schema_drift.consistent_table(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
 
 
+def p4_routes(spark, d):
+    return schema_drift.migration_routes(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
+
+
 def p5_found(spark, d):
     return csv_rejects.rejected_lines(table(spark, d, "raw_lines"), table(spark, d, "class_by_file"))
 
@@ -82,21 +86,76 @@ v as (select *, fields[list_position(hf, 'Timestamp')] ts, {CATEGORY_SQL.format(
 w as (select v.*, not (regexp_full_match({_STAMP}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')
         and try_strptime({_STAMP}, '%d/%m/%Y %H:%M:%S') is not null) bad_ts, k.label_key is null bad_label
       from v left join k using (label_key))"""
-_ALIASES = ", ".join(f"('{a}', '{f}')" for f, names in schema_drift.ALIASES.items() for a in names)
+# The field that a header name, in lower case and with marks as _, stands for. Kept apart from the operator's list.
+_NAMES = {
+    "timestamp": "timestamp",
+    "src_ip": "(src|source|origin)_(ip|addr|address|ip_address)",
+    "dst_ip": "(dst|destination|dest|target)_(ip|addr|address|ip_address)",
+    "src_port": "s_?port|(src|source|origin)_port",
+    "dst_port": "d_?port|(dst|destination|dest|target)_port",
+    "protocol": "proto|protocol|ip_protocol",
+    "flow_duration": "flow_dur(ation)?|duration_of_flow",
+    "tot_fwd_pkts": "tot(al)?_fwd_(pkts|packets)",
+    "tot_bwd_pkts": "tot(al)?_bwd_(pkts|packets)",
+    "totlen_fwd_pkts": "tot_?len_fwd_pkts|total_length_fwd_packets",
+    "totlen_bwd_pkts": "tot_?len_bwd_pkts|total_length_bwd_packets",
+    "flow_byts_s": "flow_byte?s_s",
+    "flow_pkts_s": "flow_(pkts|packets)_s",
+    "label": "label",
+}
+_WORDS = f"trim(lower(regexp_replace(regexp_replace(trim(name, {BLANK_SQL}), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_')"
+_FIELD = "case " + " ".join(f"when regexp_full_match({_WORDS}, '{p}') then '{f}'" for f, p in _NAMES.items()) + f" else {_WORDS} end"
 _VALUE = TOKEN_SQL.format("u.value")
+_ABSENT = "'', 'nan', '+nan', '-nan', 'null', 'none', 'na', 'n/a', '#n/a', '<na>'"
+_RULE = " + ".join(
+    f"case when max(({test})::int) = 1 then {bit} else 0 end"
+    for bit, test in [
+        (1, f"field in ('src_ip', 'dst_ip') and regexp_full_match({_VALUE}, '[0-9]{{1,10}}')"),
+        (2, f"field in ('src_port', 'dst_port') and regexp_full_match({_VALUE}, '0x[0-9a-f]+')"),
+        (4, f"field in ('src_port', 'dst_port') and regexp_full_match({_VALUE}, '(p|[a-z]+/)[0-9]+')"),
+        (8, f"field in ('src_port', 'dst_port', 'protocol', 'tot_fwd_pkts', 'tot_bwd_pkts') and regexp_full_match({_VALUE}, '[+-]?[0-9]+\\.0*')"),
+        (16, f"field = 'protocol' and regexp_matches({_VALUE}, '^[a-z]')"),
+        (32, f"field = 'flow_duration' and regexp_full_match({_VALUE}, '[+-]?[0-9]*\\.[0-9]*[1-9][0-9]*')"),
+    ]
+)
 DRIFT_SQL = f"""{LINES_SQL},
-a(name, field) as (values {_ALIASES}),
 hh as (select feed, source_file, file_seq, unnest(hf) name, unnest(range(1, len(hf) + 1)) pos from h join (select distinct feed, source_file, file_seq from raw_lines) using (source_file)),
-u as (select source_file, unnest(fields) as value, unnest(range(1, len(fields) + 1)) pos from w where not bad_ts and not bad_label),
-t as (select source_file, pos, max(case when regexp_full_match({_VALUE}, '[+-]?[0-9]+') then 0
-        when regexp_full_match({_VALUE}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') then 1 else 2 end) kind
-      from u where {_VALUE} not in ('', 'nan', '+nan', '-nan', 'null', 'none', 'na', 'n/a', '#n/a', '<na>')
-        and not regexp_full_match({_VALUE}, '[+-]?inf(inity)?') group by all),
+hc as (select *, {_FIELD} field from hh),
+u0 as (select source_file, unnest(fields) as value, unnest(range(1, len(fields) + 1)) pos from w where not bad_ts and not bad_label),
+u as (select u0.*, field from u0 join hc using (source_file, pos)),
+t as (select source_file, pos, max(case when {_VALUE} in ({_ABSENT}) or regexp_full_match({_VALUE}, '[+-]?inf(inity)?') then null when regexp_full_match({_VALUE}, '[+-]?[0-9]+') then 0
+        when regexp_full_match({_VALUE}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') then 1 else 2 end) kind, {_RULE} rules
+      from u group by all),
 n as (select feed, source_file, file_seq, lag(source_file) over (partition by feed order by file_seq) earlier,
         lead(source_file) over (partition by feed order by file_seq) later from (select distinct feed, source_file, file_seq from hh)),
-c as (select hh.source_file, name, coalesce(field, name) field, kind, earlier, later from hh left join a using (name) left join t using (source_file, pos) join n on n.source_file = hh.source_file),
-b as (select coalesce(x.source_file, y.later) source_file, x.name, y.name old_name, x.kind, y.kind old_kind
+c as (select hc.feed, hc.source_file, hc.file_seq, pos, name, field, kind, coalesce(rules, 0) rules, earlier, later from hc left join t using (source_file, pos) join n on n.source_file = hc.source_file),
+b as (select coalesce(x.source_file, y.later) source_file, coalesce(x.field, y.field) field, x.name, y.name old_name, x.kind, y.kind old_kind
       from (select * from c where earlier is not null) x full join (select * from c where later is not null) y on x.source_file = y.later and x.field = y.field)"""
+_KIND = "(['integer', 'decimal', 'text'])[{} + 1]"
+VERSIONS_SQL = f"""{DRIFT_SQL},
+fp as (select feed, source_file, file_seq, sha256(string_agg(part, '|' order by part)) fingerprint from (select *, concat_ws(':', field, name, coalesce({_KIND.format("kind")}, '-'), rules::varchar) part from c) group by all),
+vn as (select *, fingerprint is distinct from lag(fingerprint) over (partition by feed order by file_seq) is_new from fp),
+vs as (select *, sum(is_new::bigint) over (partition by feed order by file_seq)::bigint as version from vn)"""
+_AT = lambda f: f"trim(fields[list_position(canon, '{f}')], {BLANK_SQL})"
+_WRITTEN = lambda f: f"case when lower({_AT(f)}) not in ({_ABSENT}) then {_AT(f)} end"
+_WHOLE = r"""case when regexp_full_match({0}, '0[xX][0-9a-fA-F]+') then try_cast(lower({0}) as bigint) when regexp_full_match(lower({0}), '(p|[a-z]+/)[0-9]+') then regexp_replace({0}, '^[^0-9]+', '')::bigint
+  when regexp_full_match({0}, '[+-]?[0-9]+(\.0*)?') then try_cast(regexp_replace({0}, '\..*', '') as bigint) end""".replace("\\", "\\")
+_DOTTED = "case when regexp_full_match({0}, '[0-9]{{1,10}}') then concat_ws('.', ({0}::bigint >> 24) & 255, ({0}::bigint >> 16) & 255, ({0}::bigint >> 8) & 255, {0}::bigint & 255) else {0} end"
+_TABLE = {
+    "flow_timestamp": "try_strptime(w_timestamp, '%d/%m/%Y %H:%M:%S')",
+    "src_ip": _DOTTED.format("w_src_ip"),
+    "src_port": _WHOLE.format("w_src_port"),
+    "dst_ip": _DOTTED.format("w_dst_ip"),
+    "dst_port": _WHOLE.format("w_dst_port"),
+    "protocol": "coalesce((map {'hopopt': 0, 'icmp': 1, 'tcp': 6, 'udp': 17})[lower(w_protocol)]::bigint, " + _WHOLE.format("w_protocol") + ")",
+    "flow_duration": "round(try_cast(w_flow_duration as double) * case when is_ms then 1000.0::double else 1.0::double end, 3)",
+    "tot_fwd_pkts": _WHOLE.format("w_tot_fwd_pkts"),
+    "tot_bwd_pkts": _WHOLE.format("w_tot_bwd_pkts"),
+    **{f: f"case when isfinite(try_cast(w_{f} as double)) then try_cast(w_{f} as double) end" for f in ("totlen_fwd_pkts", "totlen_bwd_pkts", "flow_byts_s", "flow_pkts_s")},
+    "label": r"regexp_replace(w_label, '\s+', ' ', 'g')",
+}
+_LOST = ", ".join(f"case when w_{'timestamp' if f == 'flow_timestamp' else f} is not null and {f} is null then '\"{f}\":' || to_json(w_{'timestamp' if f == 'flow_timestamp' else f})::varchar end" for f in _TABLE)
+_EXTRA = "list_filter(list_transform(canon, lambda x, i: case when x not in (" + ", ".join(f"'{f}'" for f in _NAMES) + ") then '\"' || x || '\":' || to_json(fields[i])::varchar end), lambda x: x is not null)"
 
 _T = TOKEN_SQL.format("x")
 _MEASURE_ROWS = " union all ".join(f"select source_file, file_date, '{c}' column_name, {c} x from flows" for c in quality_profile.MEASURES)
@@ -143,6 +202,24 @@ select source_file, 'added' change_kind, name field_name from b where old_name i
 union all select source_file, 'removed', old_name from b where name is null
 union all select source_file, 'renamed', name from b where name != old_name
 union all select source_file, 'type_changed', name from b where kind != old_kind""",
+    "p4_versions": f"""with {VERSIONS_SQL},
+st as (select source_file, unnest([case when old_name is null then 'default ' || field end, case when name is null then 'drop ' || field end,
+  case when name != old_name then 'rename ' || old_name || ' to ' || name end, case when kind != old_kind then 'cast ' || field || ' ' || {_KIND.format("old_kind")} || ' to ' || {_KIND.format("kind")} end]) step from b)
+select feed, vs.source_file, file_seq, fingerprint, version, coalesce(steps, '') steps from vs left join (select source_file, string_agg(step, '; ' order by step) steps from st where step is not null group by 1) using (source_file)""",
+    "p4_routes": f"""with {VERSIONS_SQL},
+kf as (select vs.feed, version, field, name, pos, rules from vs join c using (source_file) where is_new),
+tv as (select feed, version, max(version) over (partition by feed) target_version from vs where is_new),
+ln as (select feed, field, arg_max(name, version) last_name from kf group by all)
+select tv.feed, tv.version, target_version, field, (pos - 1)::int "position", name, last_name target_name,
+  concat_ws('; ', case when pos is null then 'default' end, case when name != last_name then 'rename' end, case when rules > 0 then 'cast ' || concat_ws('+', case when rules & 1 > 0 then 'dotted' end,
+    case when rules & 2 > 0 then 'hexadecimal' end, case when rules & 4 > 0 then 'prefixed' end, case when rules & 8 > 0 then 'decimal' end, case when rules & 16 > 0 then 'named' end, case when rules & 32 > 0 then 'milliseconds' end) end) rules
+from tv join ln using (feed) left join kf using (feed, version, field)""",
+    "p4_consistent_table": f"""with {DRIFT_SQL},
+cn as (select source_file, list(field order by pos) canon, bool_or(rules & 32 > 0) is_ms from c group by 1),
+z as (select line_id, feed, source_file, source_line, fields, canon, is_ms, {', '.join(f'{_WRITTEN(f)} w_{f}' for f in _NAMES)} from w join cn using (source_file) where not bad_ts and not bad_label),
+y as (select *, {', '.join(f'{x} as {f}' for f, x in _TABLE.items())} from z)
+select line_id, feed, source_file, source_line, {', '.join(_TABLE)}, case when is_ms then 'ms' else 'us' end duration_unit,
+  '{{' || array_to_string({_EXTRA}, ',') || '}}' extra, '{{' || concat_ws(',', {_LOST}) || '}}' uncast from y""",
     "p1_found": f"""with {ENDPOINTS_SQL}, t as (select endpoint_role, count(*) n from e group by 1)
 select endpoint_role, ip from e join t using (endpoint_role) group by endpoint_role, ip, n having count(*) * 100 >= n""",
     "p1_endpoint_states": f"""with {ENDPOINTS_SQL}, t as (select endpoint_role, count(*) n from e group by 1),

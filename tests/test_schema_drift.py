@@ -70,3 +70,23 @@ def test_ports_and_durations_in_all_forms(spark):
     assert [(rows["ms", i].flow_duration, rows["ms", i].duration_unit) for i in (2, 3)] == [(107075.0, "ms"), (155000.0, "ms")]
     assert rows["us", 2].uncast == rows["ms", 3].uncast == "{}" and rows["us", 3].uncast == '{"flow_byts_s":"Infinity"}'
     assert rows["us", 4].uncast == '{"src_port":"eighty","flow_duration":"12us"}' and rows["us", 5].uncast == '{"src_port":"80.5"}'
+
+
+def test_routes_chain_the_steps(spark):
+    files = [
+        ("f1", ["Label,Timestamp,Src Port,Vlan Tag,Ip Ttl", f"Benign,{TS},80,7,64"]),
+        ("f2", ["Label,Timestamp,SPort,vlan_tag", f"Benign,{TS},0x51,8"]),
+        ("f3", ["Label,Timestamp,SPort,vlan_tag", f"Benign,{TS},0x52,9"]),
+        ("f4", ["Label,Timestamp,Origin Port,VLAN-Tag,ip_ttl", f"Benign,{TS},tcp/83,10,x"]),
+    ]
+    data = raw(spark, files)
+    versions = {r.source_file: r for r in S.schema_versions(data, classes(spark)).collect()}
+    assert [versions[f].version for f, _ in files] == [1, 2, 2, 3] and versions["f2"].fingerprint == versions["f3"].fingerprint
+    routes = {(r.version, r.field): (r.position, r.target_name, r.rules) for r in S.migration_routes(data, classes(spark)).collect()}
+    assert {v for v, _ in routes} == {1, 2, 3} and len(routes) == 15
+    assert routes[1, "src_port"] == (2, "Origin Port", "rename") and routes[2, "src_port"] == (2, "Origin Port", "rename; cast hexadecimal")
+    assert routes[3, "src_port"] == (2, "Origin Port", "cast prefixed") and routes[2, "ip_ttl"] == (None, "ip_ttl", "default")
+    assert routes[1, "vlan_tag"] == (3, "VLAN-Tag", "rename") and routes[1, "label"] == (0, "Label", "")
+    rows = {r.source_file: r for r in S.consistent_table(data, classes(spark)).where("source_line = 2").collect()}
+    assert [rows[f].src_port for f, _ in files] == [80, 81, 82, 83]
+    assert [rows[f].extra for f, _ in files] == ['{"vlan_tag":"7","ip_ttl":"64"}', '{"vlan_tag":"8"}', '{"vlan_tag":"9"}', '{"vlan_tag":"10","ip_ttl":"x"}']
