@@ -27,6 +27,11 @@ def p3_sample_report(spark, d):
     return sampling.sample_report(*_sampling(spark, d))
 
 
+def p3_target_report(spark, d):
+    """The columns of the report that no draw changes."""
+    return sampling.sample_report(*_sampling(spark, d)).select("plan_id", "category_kind", "category", "required", "available", "is_possible", "is_met")
+
+
 def p3_sample(spark, d):
     return sampling.draw_samples(*_sampling(spark, d))
 
@@ -101,6 +106,7 @@ found as (select * from p where agree >= {overlap.AGREE})"""
 SQL = {
     "p2_found": f"with {OVERLAP_SQL} select least(e, t) row_id_a, greatest(e, t) row_id_b from found",
     "p2_overlap_report": f"with {OVERLAP_SQL} select split, source_file, count(*) n_pairs, count(*) filter (agree = 15) n_exact_pairs, count(distinct e) n_eval_records, count(distinct t) n_train_records from found group by all",
+    "p3_target_report": f"""with {POOL_SQL} select plan_id::bigint plan_id, lower(trim(category_kind)) category_kind, category, need required, have::bigint available, have >= need is_possible, have >= need is_met from t""",
     "p3_found": f"with {POOL_SQL} select distinct plan_id::bigint plan_id, category from t where have < need",
 }
 

@@ -2,13 +2,14 @@
 
 Records are grouped by category signature: the label and the class group as far as the plans name them. Counts
 per signature, at most (named labels + 1) x (named groups + 1) numbers, go to the driver. There each plan starts
-from a random sample that meets the floors and exchanges counts between signatures as long as an exchange
-lowers the deviation from the targets. The signature counts that remain are drawn at random, exactly, on the
+from a random sample that meets the floors, the whole rows required, and exchanges counts between signatures as long
+as an exchange lowers the deviation from the targets. The signature counts that remain are drawn at random, exactly, on the
 workers: by a seeded hash of row_id, with counts per range of the hash to find where each quota ends.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,38 +65,51 @@ def _signed(counted: DataFrame, groups: DataFrame, targets: list[Target]) -> Dat
     return joined.withColumns({"label_sign": _named(F.col("label_key"), labels), "group_sign": _named(F.col("group_key"), kinds)})
 
 
+def random_counts(available: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts per signature, size in all, as a random draw of rows would have them: signature by signature with mean and
+    variance of the hypergeometric law, rounded to what is there. No row count is too large for it."""
+    taken = np.zeros_like(available)
+    rows, left = int(available.sum()), int(min(size, available.sum()))
+    for k, have in enumerate(map(int, available)):
+        rest = rows - have
+        mean = left * have / max(rows, 1)
+        spread = mean * (rest / max(rows, 1)) * ((rows - left) / max(rows - 1, 1))
+        drawn = round(rng.normal(mean, max(spread, 0.0) ** 0.5))
+        taken[k] = min(max(drawn, left - rest, 0), have, left)
+        rows, left = rest, left - int(taken[k])
+    return taken
+
+
 def repair(available: np.ndarray, member: np.ndarray, want: np.ndarray, floors: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """Counts per signature, size in all, that no exchange between two signatures brings nearer to want.
+    """Counts per signature, size in all, that no exchange between two signatures brings nearer to want, as the squares of
+    the deviations add up, so that a surplus spreads.
 
     available: rows per signature; member: categories x signatures, 0 or 1; want, floors: rows per category.
     Floors beyond what is available count as what is available; floors above size raise the size.
     """
     taken = np.zeros_like(available)
-    for c, floor in enumerate(np.minimum(floors, member @ available)):
+    least = np.minimum(floors, member @ available)
+    for c, floor in enumerate(least):
         short = int(floor - member[c] @ taken)
         if short > 0:
-            taken += rng.multivariate_hypergeometric((available - taken) * member[c], short, method="marginals")
-    rest = min(size, int(available.sum())) - int(taken.sum())
-    if rest > 0:
-        taken += rng.multivariate_hypergeometric(available - taken, rest, method="marginals")
-    least = np.minimum(floors, member @ available)
-    off = lambda x: float(np.abs(member @ x - want).sum())
+            taken += random_counts((available - taken) * member[c], short, rng)
+    taken += random_counts(available - taken, max(0, min(size, int(available.sum())) - int(taken.sum())), rng)
     step = 1 << max(0, int(taken.sum()).bit_length() - 1)
     while step:
-        best, now = None, off(taken)
+        off = (member @ taken - want).astype(float)
+        best = None
         for a in np.flatnonzero(taken >= step):
             for b in np.flatnonzero(available - taken >= step):
-                if a == b:
-                    continue
-                moved = taken.copy()
-                moved[a] -= step
-                moved[b] += step
-                if (member @ moved >= least).all() and (gain := now - off(moved)) > 1e-9 and (best is None or gain > best[0]):
-                    best = (gain, moved)
+                change = step * (member[:, b] - member[:, a])
+                # the squares before less those after
+                gain = -float((change * (2 * off + change)).sum())
+                if gain > 1e-9 and (best is None or gain > best[0]) and (member @ taken + change >= least).all():
+                    best = (gain, a, b)
         if best is None:
             step //= 2
         else:
-            taken = best[1]
+            taken[best[1]] -= step
+            taken[best[2]] += step
     return taken
 
 
@@ -122,31 +136,33 @@ def plan_samples(flows: DataFrame, audit: DataFrame, classes: DataFrame, targets
         member = np.array([[int((s[0] if t.kind == "label" else s[1]) == t.key) for s in signs] for t in own], dtype=np.int64).reshape(len(own), len(signs))
         size = round(own[0].fraction * total)
         goals = np.array([t.share * t.fraction * total for t in own])
-        floors = np.array([t.floor for t in own], dtype=np.int64)
-        taken = repair(available, member, goals, floors, size, np.random.default_rng([seed, plan_id])) if len(signs) else np.zeros(0, np.int64)
         required = [max(float(t.floor), t.share * t.fraction * total) for t in own]
+        floors = np.array([math.ceil(r) for r in required], dtype=np.int64)
+        taken = repair(available, member, goals, floors, size, np.random.default_rng([seed, plan_id])) if len(signs) else np.zeros(0, np.int64)
         quota = {(a, b): int(k) for (a, b, _), k in zip(signs, taken)}
         plans.append(Plan(own, (member @ available).tolist(), (member @ taken).tolist(), required, quota))
     return plans, total
 
 
-REPORT = "plan_id bigint, category_kind string, category string, target_share double, required double, available bigint, drawn bigint, drawn_share double, is_met boolean"
+REPORT = "plan_id bigint, category_kind string, category string, target_share double, required double, available bigint, drawn bigint, drawn_share double, is_possible boolean, is_met boolean"
 
 
 def sample_report(flows: DataFrame, audit: DataFrame, classes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per target: rows required (the greater of min_rows and target_share * sample_fraction * eligible),
-    available and drawn, and is_met: available >= required. An empty pool meets only targets of 0 rows."""
+    available and drawn; is_possible: available >= required, is_met: drawn >= required. An empty pool meets only targets
+    of 0 rows."""
     plans, _ = plan_samples(flows, audit, classes, targets, seed)
     rows = []
     for p in plans:
         size = sum(p.quota.values())
         for t, have, got, need in zip(p.targets, p.available, p.drawn, p.required):
-            rows.append((t.plan_id, t.kind, t.category, t.share, need, int(have), int(got), got / size if size else 0.0, not have < need))
+            rows.append((t.plan_id, t.kind, t.category, t.share, need, int(have), int(got), got / size if size else 0.0, not have < need, not got < need))
     return flows.sparkSession.createDataFrame(rows, REPORT)
 
 
 def unmet_targets(flows: DataFrame, audit: DataFrame, classes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(plan_id, category) of the targets that the eligible train records can't meet."""
+    """(plan_id, category) of the targets that the repaired sample doesn't meet. It meets all that the eligible train
+    records can meet, as whole required rows are floors of the repair."""
     return sample_report(flows, audit, classes, targets).where("not is_met").select("plan_id", "category").distinct()
 
 

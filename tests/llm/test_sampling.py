@@ -56,14 +56,14 @@ def test_repair_reaches_a_local_optimum():
         x = S.repair(available, member, want, floors, size, rng)
         least = np.minimum(floors, member @ available)
         assert (x >= 0).all() and (x <= available).all() and (member @ x >= least).all() and x.sum() >= min(size, available.sum())
-        off = np.abs(member @ x - want).sum()
+        off = ((member @ x - want) ** 2).sum()
         for a in range(n):
             for b in range(n):
                 if a != b and x[a] and x[b] < available[b]:
                     y = x.copy()
                     y[a] -= 1
                     y[b] += 1
-                    assert not (member @ y >= least).all() or np.abs(member @ y - want).sum() >= off - 1e-9
+                    assert not (member @ y >= least).all() or ((member @ y - want) ** 2).sum() >= off - 1e-9
 
 
 def test_empty(spark):
@@ -72,3 +72,33 @@ def test_empty(spark):
     assert {tuple(r) for r in S.unmet_targets(empty, audit, classes, targets).collect()} == {(1, "benign"), (1, "Port  sweep"), (1, "Rare"), (1, "Bot"), (2, "benign"), (2, "Malicious"), (3, "Absent too")}
     assert S.draw_samples(empty, audit, classes, targets).count() == 0
     assert S.sample_report(*data(spark)[:3], targets.where(F.lit(False))).count() == 0
+
+
+def test_counts_of_billions():
+    rng = np.random.default_rng(2)
+    available = np.array([2_000_000_000, 900_000_000, 7], dtype=np.int64)
+    drawn = S.random_counts(available, 1_000_000_000, rng)
+    assert drawn.sum() == 1_000_000_000 and (drawn <= available).all()
+    assert abs(drawn[0] / 1e9 - 2 / 2.9) < 1e-3
+    x = S.repair(available, np.eye(3, dtype=np.int64), np.array([5e8, 5e8, 10.0]), np.array([10, 10, 10]), 1_000_000_000, rng)
+    assert x.sum() == 1_000_000_000 and x[2] == 7 and abs(int(x[0]) - int(x[1])) <= 1
+
+
+def test_random_counts_follow_the_law():
+    rng = np.random.default_rng(3)
+    made = np.array([S.random_counts(np.array([30, 0, 50, 20]), 40, rng) for _ in range(4000)])
+    assert (made.sum(axis=1) == 40).all() and (made[:, 1] == 0).all()
+    assert np.allclose(made.mean(axis=0), [12, 0, 20, 8], atol=0.15)
+    assert abs(made[:, 0].var() - 40 * 0.3 * 0.7 * 60 / 99) < 0.5
+
+
+def test_a_surplus_spreads():
+    # one category has 10 of 100 rows wanted: the other nine share what is left
+    available = np.array([10] + [5000] * 9)
+    x = S.repair(available, np.eye(10, dtype=np.int64), np.full(10, 100.0), np.full(10, 100), 1000, np.random.default_rng(4))
+    assert x[0] == 10 and x[1:].min() == x[1:].max() == 110
+
+
+def test_what_is_possible_is_met(spark):
+    for r in S.sample_report(*data(spark)).collect():
+        assert r.is_met == r.is_possible == (r.available >= r.required) == (r.drawn >= r.required)
