@@ -49,6 +49,22 @@ def test_numbers_are_dense_per_key(spark):
         assert v == [(i, i // 10) for i in range(len(v))]
 
 
+def test_no_partition_grows_with_a_hot_key(spark):
+    # one key holds nine tenths of the rows; ten times the rows make ten times the partitions, not larger ones
+    for n in (20_000, 200_000):
+        rows = spark.range(n).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"), F.col("id").alias("o"))
+        ranged = K.range_sorted_rows(rows, ["k"], ["o"], -(-n // 5_000))
+        sizes = [r["count"] for r in ranged.groupBy("_block").count().collect()]
+        assert max(sizes) < 10_000 and len(sizes) >= n // 10_000
+    numbered = K.number_rows(rows, ["k"], "o", blocks=40)
+    assert numbered.where("k = 'hot'").agg(F.count_distinct("_row"), F.max("_row")).first()[:] == (180_000, 179_999)
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(K, "PARTITION_ROWS", 10)
+    assert K.range_partitions(spark.range(5_000)) == 500 and K.range_partitions(spark.range(0)) == 1
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert K.ordered_states(empty, ["k"], "o", "t", "m").count() == 0
