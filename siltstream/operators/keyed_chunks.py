@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import trimmed
-from siltstream.session import materialise, shuffle_partitions, sized
+from siltstream.session import materialise, shuffle_partitions
 
 #: Rows whose pieces are made at once.
 CHUNK_ROWS = 50_000
 #: Rows of a range-sorted partition; their number follows from the rows.
-PARTITION_ROWS = 1_000_000
+PARTITION_ROWS = 500_000
 #: Below so many rows a partition isn't worth its task.
 LEAST_ROWS = 20_000
 #: Blocks per shuffle partition; the boundaries (blocks - 1 numbers) are all that reaches the driver.
@@ -139,9 +139,9 @@ def number_rows(df: DataFrame, keys: list[str], order: str | list[str], chunk_ro
     placed = placed.withColumn("_key", key)
     counts = placed.groupBy("_block", "_key").agg((F.max("_at") + 1).alias("_n"))
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    # only a partition's first key has rows in earlier ones
+    # only a partition's first key has rows in earlier ones: at most one row per partition
     offsets = counts.withColumn("_offset", F.sum("_n").over(before)).where("_offset > 0").drop("_n")
-    numbered = placed.join(sized(materialise(offsets, "offsets")), ["_block", "_key"], "left")
+    numbered = placed.join(F.broadcast(offsets), ["_block", "_key"], "left")
     numbered = numbered.withColumn("_row", F.col("_at") + F.coalesce("_offset", F.lit(0)))
     return numbered.withColumn("_chunk", F.floor(F.col("_row") / F.lit(chunk_rows))).select(*df.columns, "_block", "_key", "_row", "_chunk")
 

@@ -2,36 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstream.operators.keyed_chunks import default_blocks, in_block
+from siltstream.operators.keyed_chunks import _changes, range_partitions
 from siltstream.session import materialise, sized
 
 
-def value_bounds(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
-    """At most blocks - 1 rising split points of a number column; they decide balance only, never results."""
-    blocks = blocks or default_blocks(df.sparkSession)
-    if blocks < 2:
-        return []
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / blocks for i in range(1, blocks)], 10_000).alias("b")).first()["b"]
-    return sorted({x for x in found or [] if x == x})
+def _sums(keys: int, values: list[str]):
+    """Appends the running total of each value within a key's rows of a sorted partition; the keys are the first columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.num_rows
+            starts = np.flatnonzero(_changes(batch.columns[:keys])) if keys else np.zeros(1, np.int64)
+            lengths = np.diff(np.r_[starts, n])
+            goes_on = last is not None and not (keys and _changes([pa.concat_arrays([a, b]) for a, b in zip(last.columns[:keys], batch.slice(0, 1).columns[:keys])])[1:].any())
+            made, ends = [], []
+            for k, v in enumerate(values):
+                x = batch.column(v).fill_null(0).to_numpy(zero_copy_only=False)
+                if np.issubdtype(x.dtype, np.floating):  # each key by itself, as a large one before would cost a small one digits
+                    total = np.concatenate([np.cumsum(p) for p in np.split(x, starts[1:])])
+                else:
+                    total = np.cumsum(x, dtype=np.int64)
+                    total = total - np.repeat(total[starts] - x[starts], lengths)
+                if goes_on:
+                    total[: lengths[0]] += seen[k]
+                made.append(pa.array(total))
+                ends.append(total[-1])
+            last, seen = batch.slice(n - 1, 1), ends
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *[f"_r{v}" for v in values]])
+
+    return run
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False, blocks: int | None = None) -> DataFrame:
     """df with upto_<v> for each value: its total over the rows of the same keys up to and with this one in order.
 
-    The order column must be a number without nulls, unique per key (aggregate by it first). Rows are cut into
-    value ranges; totals per range give each range's start. Null keys make a group of their own.
+    The order column must be a number without nulls, unique per key (aggregate by it first). Rows are range-sorted by
+    keys and order into partitions whose number follows the rows; the totals of a key's earlier partitions give each
+    partition's start. Null keys make a group of their own, a null value adds nothing. Written to the shared folder.
     """
-    rows = df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("k"))).withColumn("_block", in_block(F.col(order).cast("double"), value_bounds(df, order, blocks)))
-    way = F.desc if descending else F.asc
-    totals = rows.groupBy("_key", "_block").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
-    before = Window.partitionBy("_key").orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_key", "_block", *[F.coalesce(F.sum(f"_t{v}").over(before), F.lit(0)).alias(f"_s{v}") for v in values])
-    inside = Window.partitionBy("_key", "_block").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({f"_r{v}": F.sum(v).over(inside) for v in values}).join(starts, ["_key", "_block"])
-    return placed.select(*df.columns, *[(F.col(f"_r{v}") + F.col(f"_s{v}")).alias(f"upto_{v}") for v in values])
+    types = {f.name: f.dataType for f in df.schema}
+    total = {v: "double" if types[v].typeName() in ("float", "double", "decimal") else "bigint" for v in values}
+    rows = df.select(*keys, *[F.col(c).cast(total[c]).alias(c) if c in total else F.col(c) for c in df.columns if c not in keys])
+    by = [*keys, F.desc(order) if descending else F.asc(order)]
+    ranged = rows.repartitionByRange(blocks or range_partitions(df), *by).sortWithinPartitions(*by).withColumn("_block", F.spark_partition_id())
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema], *[f"`_r{v}` {t}" for v, t in total.items()]])
+    placed = materialise(ranged.mapInArrow(_sums(len(keys), values), schema), "running")
+    placed = placed.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("k")))
+    parts = placed.groupBy("_block", "_key").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # only a partition's first key has rows in earlier ones: at most one row per partition
+    starts = parts.select("_block", "_key", F.row_number().over(Window.partitionBy("_key").orderBy("_block")).alias("_nth"), *[F.sum(f"_t{v}").over(before).alias(f"_s{v}") for v in values]).where("_nth > 1").drop("_nth")
+    joined = placed.join(F.broadcast(starts), ["_block", "_key"], "left")
+    return joined.select(*df.columns, *[(F.col(f"_r{v}") + F.coalesce(f"_s{v}", F.lit(0).cast(total[v]))).alias(f"upto_{v}") for v in values])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str], weight: str | None = None) -> DataFrame:
