@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstream.models.networks import Snapshot
 from siltstream.models.tensor import Tensor, logistic_loss
 from siltstream.operators.graph import SNAPSHOT
 
@@ -28,23 +30,24 @@ def snapshot_rows(nodes: DataFrame, message_edges: DataFrame, targets: DataFrame
     return t.join(n, SNAPSHOT).join(e, SNAPSHOT, "left")
 
 
-def unpacked(row: dict, width: int) -> dict[str, np.ndarray]:
+@dataclass
+class Targets:
+    """The answers to a snapshot's pairs, their weights and rows."""
+
+    y: np.ndarray
+    weight: np.ndarray
+    row: np.ndarray
+
+
+def unpacked(row: dict, width: int) -> tuple[Snapshot, Targets]:
     """A snapshot row as arrays."""
-    at = {n["node"]: i for i, n in enumerate(row["nodes"])}
-    edges, targets = row["edges"] or [], row["targets"]
-    pick = lambda items, key: np.array([at[i[key]] for i in items], dtype=np.int64)
-    block = lambda items: np.array([i["x"] for i in items], dtype=np.float64).reshape(len(items), width)
-    return {
-        "nodes": np.array([n["f"] for n in row["nodes"]], dtype=np.float64).reshape(-1, 8),
-        "edges": np.stack([pick(edges, "src"), pick(edges, "dst")]),
-        "edge_features": block(edges),
-        "target_src": pick(targets, "src"),
-        "target_dst": pick(targets, "dst"),
-        "x": block(targets),
-        "y": np.array([t["y"] for t in targets]),
-        "weight": np.array([t["weight"] for t in targets], dtype=np.float64),
-        "row": np.array([t["row"] for t in targets], dtype=np.int64),
-    }
+    number = {n["node"]: i for i, n in enumerate(row["nodes"])}
+    ends = lambda items: np.array([[number[i[side]] for i in items] for side in ("src", "dst")], dtype=np.int64).reshape(2, -1)
+    block = lambda items: np.array([i["x"] for i in items], dtype=np.float64).reshape(-1, width)
+    links, asked = row["edges"] or [], row["targets"]
+    hosts = np.array([n["f"] for n in row["nodes"]], dtype=np.float64).reshape(-1, len(NODE_FEATURES))
+    column = lambda name, kind: np.array([t[name] for t in asked], dtype=kind)
+    return Snapshot(hosts, ends(links), block(links), ends(asked), block(asked)), Targets(column("y", float), column("weight", float), column("row", np.int64))
 
 
 def snapshot_loss(width: int) -> Callable:
@@ -53,9 +56,8 @@ def snapshot_loss(width: int) -> Callable:
     def loss(model, batch: pa.RecordBatch) -> tuple[Tensor, float]:
         total, weight = Tensor(0.0), 0.0
         for row in batch.to_pylist():
-            s = unpacked(row, width)
-            w = float(s["weight"].sum())
-            total, weight = total + logistic_loss(model.logits(s), s["y"], s["weight"]) * float(len(s["y"])), weight + w
+            s, t = unpacked(row, width)
+            total, weight = total + logistic_loss(model.logits(s), t.y, t.weight) * float(len(t.y)), weight + float(t.weight.sum())
         return total * (1 / max(weight, 1e-9)), weight
 
     return loss
@@ -69,8 +71,8 @@ def target_scores(rows: DataFrame, network, make: Callable, width: int) -> DataF
         model = make().load(state.value)
         for batch in batches:
             for row in batch.to_pylist():
-                s = unpacked(row, width)
+                s, t = unpacked(row, width)
                 score = 1 / (1 + np.exp(-np.clip(model.logits(s).value, -60, 60)))
-                yield pa.RecordBatch.from_arrays([pa.array(s["row"]), pa.array(s["y"].astype(np.int32)), pa.array(score)], ["row", "y", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.row), pa.array(t.y.astype(np.int32)), pa.array(score)], ["row", "y", "score"])
 
     return rows.mapInArrow(run, "row bigint, y int, score double")

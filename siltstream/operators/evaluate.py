@@ -190,7 +190,7 @@ def score_summary(df: DataFrame, keys: list[str], score: str, threshold: float =
 def seed_summary(runs: DataFrame, keys: list[str], seed: str, metrics: list[str], seeds: int = 5) -> DataFrame:
     """Mean and sample deviation of each metric over exactly ``seeds`` seeds, one row each; anything else raises."""
     whole = (F.count(F.lit(1)) == seeds) & (F.count_distinct(seed) == seeds)
-    checked = F.when(~whole, F.raise_error(F.lit("Missing seeds"))).otherwise(F.count_distinct(seed))
+    checked = F.when(~whole, F.raise_error(F.lit("a metric needs one row for each seed"))).otherwise(F.count_distinct(seed))
     return runs.groupBy(*keys).agg(checked.alias("n_seeds"), *[f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))])
 
 

@@ -137,15 +137,19 @@ def model_graph_attention(spark, d, kind="gat"):
     wanted = targets.select("part", (F.col("slot") * SLOT + OFFSET).alias("cutoff"), "row", "src", "dst").join(known.select("row", "y"), "row")
     nodes = graph.kept_nodes(graph.node_features(prefix), messages, targets, SLOT, OFFSET)
     data = snapshots.snapshot_rows(nodes, messages, supervised.weighted(wanted, "y"), known)
-    make = lambda: networks.GraphAttention(len(features), len(features), 16, 2, kind)
+    make = lambda: networks.snapshot_network(kind, len(features), len(features))
     network, _ = training.fit(data.where("part = 0"), make, snapshots.snapshot_loss(len(features)), epochs=2, steps=2)
     scores = snapshots.target_scores(data.where("part > 0"), network, make, len(features)).join(known.select("row", "split"), "row")
     return _metrics(scores, kind)
 
 
+def model_self_only(spark, d):
+    return model_graph_attention(spark, d, "self_only")
+
+
 def model_edge_mlp(spark, d):
     return model_graph_attention(spark, d, "edge_mlp")
 
 
-QUERIES = {f.__name__: f for f in (model_logistic_regression, model_random_forest, model_boosted_trees, model_perceptron, model_isolation_forest, model_autoencoder, model_transformer, model_history_head, model_graph_attention, model_edge_mlp)}
+QUERIES = {f.__name__: f for f in (model_logistic_regression, model_random_forest, model_boosted_trees, model_perceptron, model_isolation_forest, model_autoencoder, model_transformer, model_history_head, model_graph_attention, model_self_only, model_edge_mlp)}
 SQL: dict[str, str] = {}

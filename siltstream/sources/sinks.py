@@ -2,55 +2,61 @@
 
 from __future__ import annotations
 
-import csv
+import functools
 import hashlib
-import io
 import json
 import os
+import tempfile
 import time
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def require(condition: bool, message: str) -> None:
-    if not condition:
-        raise ValueError(message)
+def check(held: bool, problem: str) -> None:
+    """Raises ValueError with the problem unless it held."""
+    if not held:
+        raise ValueError(problem)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Parquet with zstd; refuses to overwrite."""
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Parquet with zstd in the cluster's storage; refuses to overwrite."""
+    df.write.save(path, format="parquet", mode="errorifexists", partitionBy=list(partition_by) or None, compression="zstd")
+
+
+def _publish(path: str, text: str, replace: bool) -> None:
+    """A small report on the driver's own disk: written beside its place and then moved there, so no reader sees half of
+    it. Tables go through write_table; only what the driver holds anyway is written here."""
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, part = tempfile.mkstemp(dir=folder)
+    try:
+        with open(handle, "w", encoding="utf-8", newline="") as file:
+            file.write(text)
+        # a link fails where the name is taken
+        (os.replace if replace else os.link)(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
 
 
 def write_json(path: str, value: object) -> None:
-    """Sorted keys, no NaN; the file appears whole or not at all."""
-    text = json.dumps(value, sort_keys=True, indent=2, allow_nan=False)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as file:
-        file.write(text + "\n")
-    os.replace(f"{path}.tmp", path)
+    """One JSON value, its keys in order; NaN and infinity are no JSON and raise. Replaces the file."""
+    _publish(path, "".join([*json.JSONEncoder(allow_nan=False, sort_keys=True, indent=1).iterencode(value), "\n"]), True)
 
 
 def write_csv(path: str, rows: list[dict]) -> None:
-    """Columns are the keys of all rows in order of appearance; no rows is an error."""
-    require(bool(rows), "no rows to write")
-    names = list(dict.fromkeys(k for r in rows for k in r))
-    out = io.StringIO(newline="")
-    writer = csv.DictWriter(out, names, lineterminator="\n")
-    writer.writeheader()
-    writer.writerows(rows)
-    with open(path, "x", encoding="utf-8", newline="") as file:
-        file.write(out.getvalue())
+    """Rows of any fields as CSV, a field no row has left empty. The file must not exist; without rows there is no header
+    and it raises."""
+    check(len(rows) > 0, "a report needs rows")
+    frame = pd.DataFrame([{k: str(v) for k, v in r.items() if v is not None} for r in rows], dtype="string")
+    _publish(path, frame.to_csv(index=False, lineterminator="\n"), False)
 
 
 def union_rows(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts, columns by name, absent ones null."""
-    require(bool(parts), "nothing to union")
-    made = parts[0]
-    for p in parts[1:]:
-        made = made.unionByName(p, allowMissingColumns=True)
-    return made
+    check(bool(parts), "nothing to union")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def mark(path: str, event: str, **values: object) -> None:
@@ -93,7 +99,7 @@ def manifest(folder: str) -> dict[str, str]:
 def compare_manifests(expected: dict[str, str], found: dict[str, str]) -> None:
     """Raises for a file that is missing, new or changed."""
     changed = sorted(k for k in expected.keys() | found.keys() if expected.get(k) != found.get(k))
-    require(not changed, f"changed files: {changed[:5]}")
+    check(not changed, f"changed files: {changed[:5]}")
 
 
 @dataclass
@@ -111,16 +117,16 @@ class Config:
     benign: str = "Benign"
 
     def __post_init__(self) -> None:
-        require(abs(sum(self.fractions) - 1) < 1e-9 and all(f > 0 for f in self.fractions), "fractions must be positive and add up to 1")
+        check(abs(sum(self.fractions) - 1) < 1e-9 and all(f > 0 for f in self.fractions), "fractions must be positive and add up to 1")
         raw, out = os.path.abspath(self.raw), os.path.abspath(self.output)
-        require(os.path.commonpath([raw, out]) not in (raw, out), "input and output must be apart")
+        check(os.path.commonpath([raw, out]) not in (raw, out), "input and output must be apart")
 
 
 def load_config(path: str) -> Config:
     with open(path, encoding="utf-8") as file:
         values = json.load(file)
     known = set(Config.__dataclass_fields__)
-    require(set(values) <= known, f"unknown settings: {sorted(set(values) - known)}")
+    check(set(values) <= known, f"unknown settings: {sorted(set(values) - known)}")
     return Config(**{k: tuple(v) if k in ("fractions", "minimum_dates") else v for k, v in values.items()})
 
 
@@ -132,12 +138,12 @@ class ThresholdLock:
     source_hash: str
 
     def save(self, path: str) -> None:
-        require(not os.path.exists(path), "the lock exists")
+        check(not os.path.exists(path), "the lock exists")
         write_json(path, {"thresholds": self.thresholds, "source_hash": self.source_hash})
 
     @staticmethod
     def load(path: str, source_hash: str) -> ThresholdLock:
         with open(path, encoding="utf-8") as file:
             value = json.load(file)
-        require(value["source_hash"] == source_hash, "the scores changed since the lock")
+        check(value["source_hash"] == source_hash, "the scores changed since the lock")
         return ThresholdLock(value["thresholds"], source_hash)

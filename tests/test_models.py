@@ -26,12 +26,12 @@ def numeric(network, loss, names=6, eps=1e-6):
 
 
 def snapshot():
-    return {"nodes": rng.normal(size=(5, 8)), "edges": np.array([[0, 1, 1, 3], [1, 2, 2, 3]]), "edge_features": rng.normal(size=(4, 3)), "target_src": np.array([0, 4]), "target_dst": np.array([2, 1]), "x": rng.normal(size=(2, 6))}
+    return networks.Snapshot(rng.normal(size=(5, 8)), np.array([[0, 1, 1, 3], [1, 2, 2, 3]]), rng.normal(size=(4, 3)), np.array([[0, 4], [2, 1]]), rng.normal(size=(2, 6)))
 
 
 @pytest.mark.parametrize("kind", ["gat", "self_only", "edge_mlp"])
 def test_graph_gradients(kind):
-    m, s, y = networks.GraphAttention(6, 3, 8, 2, kind), snapshot(), np.array([0.0, 1.0])
+    m, s, y = networks.snapshot_network(kind, 6, 3, 8, 2), snapshot(), np.array([0.0, 1.0])
     numeric(m, lambda: logistic_loss(m.logits(s), y, np.ones(2)))
 
 
@@ -58,11 +58,11 @@ def test_attention_layer_equals_the_relational_form(spark):
     m, s = networks.GraphAttention(6, 3, 8, 2), snapshot()
     x = rng.normal(size=(5, 8))
     p = m.state()
-    weights = {"source": p["g0.source.w"].T, "target": p["g0.target.w"].T, "edge": p["g0.edge.w"].T, "attention": p["g0.a"][0], "bias": p["g0.b"]}
+    weights = {"source": p["a0.send.w"].T, "target": p["a0.receive.w"].T, "edge": p["a0.link.w"].T, "attention": p["a0.score"][0], "bias": p["a0.shift"]}
     nodes = spark.createDataFrame([(i, x[i].tolist()) for i in range(5)], "node int, x array<double>")
-    links = spark.createDataFrame([(int(a), int(b), e.tolist()) for a, b, e in zip(*s["edges"], s["edge_features"])], "src int, dst int, e array<double>")
+    links = spark.createDataFrame([(int(a), int(b), e.tolist()) for a, b, e in zip(*s.links, s.link_features)], "src int, dst int, e array<double>")
     got = {r.node: r.h for r in graph.attention_layer(nodes, links, weights, 2).collect()}
-    want = m.attend(0, Tensor(x), s["edges"], s["edge_features"]).value
+    want = m.layer(0, Tensor(x), s.links, s.link_features).value
     assert np.allclose([got[i] for i in range(5)], want)
 
 
