@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.operators.keyed_chunks import number_rows
+from siltstream.operators.picks import drawn_by
 
 QUANTILES = [0.1, 0.5, 0.9]
 
@@ -77,7 +78,7 @@ def feature_groups(groups: dict[str, list[int]], names: list[str]) -> list[tuple
     return [(i, names[i - 1], g) for g, v in groups.items() for i in v]
 
 
-def quota_sample(df: DataFrame, group: str, key: str, size: int, seed: int) -> DataFrame:
+def quota_sample(df: DataFrame, group: str, key: str, size: int, seed: int, portable: bool = False) -> DataFrame:
     """``size`` records with quotas per group in proportion, by largest remainders (ties to the lower name), drawn by a
     seeded hash of the key; all records if there are fewer. Groups are few; their counts come to the driver."""
     counts = sorted((r[group], r["n"]) for r in df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -87,7 +88,6 @@ def quota_sample(df: DataFrame, group: str, key: str, size: int, seed: int) -> D
     rest = size - sum(quota.values())
     for g, n in sorted(counts, key=lambda x: (-(size * x[1] % total), x[0]))[:rest]:
         quota[g] += 1
-    chance = F.xxhash64(F.lit(seed), key)
-    rows = number_rows(df.withColumn("_chance", chance), [group], ["_chance", key])
+    rows = number_rows(df.withColumn("_chance", drawn_by(key, seed, portable)), [group], ["_chance", key])
     table = df.sparkSession.createDataFrame(list(quota.items()) or [(None, 0)], f"{group} {dict(df.dtypes)[group]}, _quota bigint")
     return rows.join(F.broadcast(table), group).where(F.col("_row") < F.col("_quota")).select(df.columns)  # one row per group

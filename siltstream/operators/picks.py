@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.operators.keyed_chunks import number_rows
@@ -10,15 +10,20 @@ from siltstream.plans.running import running_totals
 from siltstream.session import materialise, sized
 
 
-def uniform_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+def drawn_by(key: str, seed: int, portable: bool = False) -> Column:
+    """The seeded hash of a unique key by which rows are drawn; the portable one is a digest that other engines have too."""
+    return F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string"))) if portable else F.xxhash64(F.lit(seed), key)
+
+
+def uniform_sample(df: DataFrame, key: str, size: int, seed: int, portable: bool = False) -> DataFrame:
     """``size`` rows without replacement, the first by a seeded hash of the unique key; all rows if there are fewer.
     Each task keeps only its own first rows before they are merged."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    return df.orderBy(drawn_by(key, seed, portable), key).limit(size)
 
 
-def group_sample(df: DataFrame, groups: list[str], key: str, size: int, seed: int) -> DataFrame:
+def group_sample(df: DataFrame, groups: list[str], key: str, size: int, seed: int, portable: bool = False) -> DataFrame:
     """At most ``size`` rows of each group, by a seeded hash of the unique key. Null groups are a group."""
-    rows = number_rows(df.withColumn("_chance", F.xxhash64(F.lit(seed), key)), groups, ["_chance", key])
+    rows = number_rows(df.withColumn("_chance", drawn_by(key, seed, portable)), groups, ["_chance", key])
     return rows.where(F.col("_row") < size).select(df.columns)
 
 

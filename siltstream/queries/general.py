@@ -172,6 +172,15 @@ s as (select source_file, column_name, count(*) n_rows, count(*) filter (kind =
 d as (select source_file, regexp_extract(source_file, '(site[0-9]+)', 1) site, min(file_date) dt from flows group by all),
 e as (select a.source_file, b.source_file earlier from d a join d b on a.site = b.site and a.dt = b.dt + 1)""".replace("\\\\", "\\")
 
+_REALS = ["row_id", "source_row", "src_port", "dst_port", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_pkts", "totlen_bwd_pkts", "flow_iat_mean", "init_fwd_win_byts"]
+_CURVES = " union all ".join(
+    [f"select source_file, '{c}' column_name, case when isfinite({c}::double) then {c}::double + 0.0 end x, null::varchar t from flows" for c in _REALS]
+    + [f"select source_file, '{c}', epoch_us({c}::timestamp)::double, null from flows" for c in ("file_date", "flow_timestamp", "loaded_at")]
+    + ["select source_file, column_name, v, null from m"]
+    + [f"select source_file, '{c}', null, {CATEGORY_SQL.format(c)} from flows" for c in ("split", "src_ip", "dst_ip", "protocol", "label")]
+)
+_RANK = "dense_rank() over (partition by column_name order by x, t)"
+
 SQL = {
     "p6_measure_profile": f"with {MEASURES_SQL} select * replace ({', '.join(f'round({c}, 6) as {c}' for c in ('least', 'greatest', 'q01', 'q25', 'q50', 'q75', 'q99'))}) from s",
     "p6_found": f"""with {MEASURES_SQL},
@@ -185,12 +194,15 @@ union all select source_file, column_name, 'value_range' from j where n_negative
 union all select source_file, column_name, 'null_rate' from j where n_absent / n_rows::double - b_absent / b_rows::double >= 0.05 - 1e-12
 union all select source_file, column_name, 'shift' from j where q50 >= 4 * b_median or q50 <= b_median / 4""",
     "p6_load_distances": f"""with {MEASURES_SQL},
-p as (select e.source_file, c.column_name, e.earlier, v, 1 w from e join m c on c.source_file = e.source_file where v is not null
-      union all select e.source_file, c.column_name, e.earlier, v, 0 from e join m c on c.source_file = e.earlier where v is not null),
+c0 as ({_CURVES}),
+c1 as (select c0.*, {_RANK} v from c0 where t is not null or x is not null),
+p as (select e.source_file, c.column_name, e.earlier, v, 1 w from e join c1 c on c.source_file = e.source_file
+      union all select e.source_file, c.column_name, e.earlier, v, 0 from e join c1 c on c.source_file = e.earlier),
 g as (select source_file, column_name, earlier, v, sum(w) c, count(*) - sum(w) p from p group by all),
-t as (select source_file, column_name, earlier, sum(c) n, sum(p) n_earlier from g group by all),
-x as (select g.*, n, n_earlier, sum(c) over (partition by g.source_file, g.column_name order by v) / n::double - sum(p) over (partition by g.source_file, g.column_name order by v) / n_earlier::double gap
-      from g join t using (source_file, column_name, earlier))
+tt as (select e.source_file, e.earlier, column_name from e cross join (select distinct column_name from c0)),
+t as (select tt.source_file, tt.column_name, tt.earlier, coalesce(sum(c), 0) n, coalesce(sum(p), 0) n_earlier from tt left join g using (source_file, column_name, earlier) group by all),
+x as (select t.source_file, t.column_name, t.earlier, n, n_earlier, case when n > 0 and n_earlier > 0 then sum(c) over (partition by t.source_file, t.column_name order by v) / n::double - sum(p) over (partition by t.source_file, t.column_name order by v) / n_earlier::double end gap
+      from t left join g using (source_file, column_name, earlier))
 select source_file, column_name, earlier, n::bigint n, n_earlier::bigint n_earlier, round(max(abs(gap)), 6) ks from x group by all""",
     "p5_found": f"""with {LINES_SQL} select line_id, problem reason from j where problem is not null
 union all select line_id, 'invalid_timestamp' from w where bad_ts union all select line_id, 'invalid_label' from w where bad_label""",

@@ -50,8 +50,9 @@ def trailing_sequence_l16(spark, d):
 
 
 def cohort_violations(spark, d):
-    rows = _positioned(spark, d)
-    return sequences.cohort_violations(rows, sequences.day_targets(rows, F.lit(8)), "file_date", "flow_timestamp", 64)
+    """Planted: rows of other days stay in, and targets begin before a whole sequence stands behind them."""
+    rows = sequences.day_positions(base(spark, d), "file_date", "flow_timestamp", "row_id")
+    return sequences.cohort_violations(rows, sequences.day_targets(rows, F.lit(8), 32), "file_date", "flow_timestamp", 64)
 
 
 def endpoint_join(spark, d):
@@ -141,8 +142,11 @@ def history_coverage(spark, d):
 
 
 def history_violations(spark, d):
+    """Planted: some lags, kinds and records of the history are changed before the check."""
     rows = _observed(spark, d)
-    return history.history_violations(rows, history.history_slots(rows, 8, SLOT, OFFSET), SLOT, OFFSET)
+    slots = history.history_slots(rows, 8, SLOT, OFFSET)
+    wrong = slots.withColumns({"lag": F.when(F.col("id") % 50 == 0, F.col("lag") + 1).otherwise(F.col("lag")), "kind": F.when(F.col("id") % 70 == 1, 1).otherwise(F.col("kind")), "history_id": F.when(F.col("id") % 110 == 2, F.col("id")).otherwise(F.col("history_id"))})
+    return history.history_violations(rows, wrong, SLOT, OFFSET)
 
 
 def history_sequence(spark, d):
@@ -170,9 +174,8 @@ def quantile_cases(spark, d):
     return cases.selected_cases(cases.categorised(joined, tests, ["row_id"]), list(CATEGORIES), ["row_id"])
 
 
-def quota_sample_counts(spark, d):
-    made = cases.quota_sample(scored(spark, d).where("y = 1"), "family", "row_id", 500, 42)
-    return made.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+def quota_sample(spark, d):
+    return cases.quota_sample(scored(spark, d).where("y = 1"), "family", "row_id", 500, 42, portable=True).select("family", "row_id")
 
 
 def topology_summary(spark, d):
@@ -185,13 +188,13 @@ def thinned_scores(spark, d):
 
 
 def sampled_flows(spark, d):
-    """Seeded samples, counted: 1,000 rows of all and at most 40 of each family."""
+    """Seeded samples: 1,000 rows of all and at most 40 of each family."""
     s = scored(spark, d)
-    whole = picks.uniform_sample(s, "row_id", 1_000, 42).agg(F.lit("all").alias("sample"), F.count(F.lit(1)).alias("n"))
-    return whole.unionByName(picks.group_sample(s, ["family"], "row_id", 40, 42).groupBy(F.col("family").alias("sample")).agg(F.count(F.lit(1)).alias("n")))
+    whole = picks.uniform_sample(s, "row_id", 1_000, 42, portable=True).select(F.lit("all").alias("sample"), "row_id")
+    return whole.unionByName(picks.group_sample(s, ["family"], "row_id", 40, 42, portable=True).select(F.col("family").alias("sample"), "row_id"))
 
 
-QUERIES = {f.__name__: f for f in (strided_targets_slot, slot_target_counts, strided_targets_daily, trailing_sequence_l16, cohort_violations, endpoint_join, causal_prefix_edges, node_features, kept_nodes, snapshot_summary, graph_topology, weak_components, component_counts, gat_attention_forward, completion_overlap, history_slots, history_counts, history_coverage, history_violations, history_sequence, quantile_cases, quota_sample_counts, topology_summary, thinned_scores, sampled_flows)}
+QUERIES = {f.__name__: f for f in (strided_targets_slot, slot_target_counts, strided_targets_daily, trailing_sequence_l16, cohort_violations, endpoint_join, causal_prefix_edges, node_features, kept_nodes, snapshot_summary, graph_topology, weak_components, component_counts, gat_attention_forward, completion_overlap, history_slots, history_counts, history_coverage, history_violations, history_sequence, quantile_cases, quota_sample, topology_summary, thinned_scores, sampled_flows)}
 
 _T = TOKEN_SQL.format("flow_duration")
 _DUR = f"case when regexp_full_match({_T}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') and ({_T})::double >= 0 then trunc(({_T})::double)::bigint else 0 end"
@@ -201,13 +204,13 @@ EDGES_SQL = f"""{BASE_SQL}, e as (select case lower(trim(split)) when 'train' th
 t as (select part, second // {SLOT} slot, second, "row", src, dst from (select *, row_number() over (partition by part, second // {SLOT} order by second, "row") - 1 k from e where second % {SLOT} >= {OFFSET}) where k % (case part when 0 then 4 else 2 end) = 0)"""
 PREFIX_SQL = f"""{EDGES_SQL}, cut as (select distinct part, slot * {SLOT} + {OFFSET} cutoff from t),
 p as (select e.*, cutoff from e join cut on e.part = cut.part and e.second // {6 * SLOT} = cutoff // {6 * SLOT} and e.second < cutoff and completion_us < cutoff * 1000000),
-m as (select * from p qualify row_number() over (partition by part, cutoff order by completion_us desc, "row" desc) <= 20)"""
+m as (select * from p qualify row_number() over (partition by part, cutoff order by completion_us desc, "row" desc) <= {graph.EDGE_CAP})"""
 _NODES = """n as (select part, cutoff, src node, 'src' role, * exclude (part, cutoff) from p union all select part, cutoff, dst, 'dst', * exclude (part, cutoff) from p),
 f as (select part, cutoff, node, ln(1 + count(*) filter (role = 'dst')) in_count, ln(1 + count(*) filter (role = 'src')) out_count, ln(1 + coalesce(sum(greatest(bytes, 0)) filter (role = 'dst'), 0)) in_bytes,
   ln(1 + coalesce(sum(greatest(bytes, 0)) filter (role = 'src'), 0)) out_bytes, ln(1 + count(*) filter (protocol = 6)) tcp, ln(1 + count(*) filter (protocol = 17)) udp,
   ln(1 + count(*) filter (role = 'src' and src_port < 1024)) low_src_port, ln(1 + count(*) filter (role = 'dst' and dst_port < 1024)) low_dst_port from n group by all)"""
 _POSITIONED = f"{BASE_SQL}, q as (select *, row_number() over (partition by file_date order by flow_timestamp, row_id) - 1 position from b where flow_timestamp::date = file_date)"
-_PAIRS = "p as (select distinct strftime(ts, '%Y-%m-%d') AS \"day\", user_id src, regexp_extract(props, '([0-9]+)', 1)::bigint dst from events where regexp_extract(props, '([0-9]+)', 1)::bigint > 80)"
+_PAIRS = "p as (select distinct strftime(ts, '%Y-%m-%d') AS \"day\", user_id src, regexp_extract(props, '([0-9]+)', 1)::bigint dst from events where user_id is not null and regexp_extract(props, '([0-9]+)', 1) != '')"
 _HIST = f"""h as (select o.*, o.second // {SLOT} slot from e o), l as (select h.*, k.lag, slot + k.lag for_slot from h cross join (select unnest(range(1, 9)) lag) k where completion_us < ((slot + k.lag) * {SLOT} + {OFFSET}) * 1000000),
 a1 as (select part, for_slot, lag, src, dst, arg_max("row", (completion_us, "row")) id from l group by all), a2 as (select part, for_slot, lag, src, arg_max("row", (completion_us, "row")) id from l group by all), a3 as (select part, for_slot, lag, dst, arg_max("row", (completion_us, "row")) id from l group by all),
 s as (select h."row" id, k.lag, coalesce(a1.id, a2.id, a3.id) history_id, case when a1.id is not null then 1 when a2.id is not null then 2 when a3.id is not null then 3 end kind from h cross join (select unnest(range(1, 9)) lag) k
@@ -248,12 +251,14 @@ v as ({' union all '.join(f"select day_part, '{m}' metric, {m}::double v from t2
 select day_part, metric, count(*) n, round(avg(v), 6) mean, round(quantile_cont(v, 0.5), 6) median, round(quantile_cont(v, 0.9), 6) p90, round(max(v), 6) maximum from v group by all""",
     "thinned_scores": f"""with {SCORED_SQL}, r as (select split, ae, row_number() over (partition by split order by ae) - 1 k, count(*) over (partition by split) n from s)
 select distinct split, k AS "rank", ae AS "value", round((k + 1) / n::double, 6) AS share from r join range(50) i(i) on k = floor((n - 1) * i / greatest(least(50, n) - 1, 1)) and i < n""",
-    "sampled_flows": f"with {SCORED_SQL} select 'all' AS sample, least(count(*), 1000) n from s union all select family, least(count(*), 40) from s group by family",
+    "sampled_flows": f"with {SCORED_SQL}, h as (select row_id, family, md5('42-' || row_id) chance from s) select 'all' AS sample, row_id from (from h order by chance, row_id limit 1000) union all select family, row_id from h qualify row_number() over (partition by family order by chance, row_id) <= 40",
     "strided_targets_slot": f"with {EDGES_SQL} select part, slot, second AS \"second\", \"row\" from t",
     "slot_target_counts": f"with {EDGES_SQL} select part, slot, count(*) n, min(second) first_second, max(second) last_second from t group by 1, 2",
     "strided_targets_daily": f"with {_POSITIONED} select file_date, position AS \"position\", row_id from q where position >= 63 and (position - 63) % (case when lower(trim(split)) = 'train' then 128 else 8 end) = 0",
     "trailing_sequence_l16": f"with {_POSITIONED}, r as (select file_date, position, string_agg(row_id::varchar, ',') over (partition by file_date order by position rows between 15 preceding and current row) sequence from q) select file_date, position AS \"position\", sequence from r where position >= 63 and (position - 63) % 8 = 0",
-    "cohort_violations": f"with {_POSITIONED} select file_date, position AS \"position\", 'before_day_start' problem from q where position >= 63 and (position - 63) % 8 = 0 and position < 63",
+    "cohort_violations": f"""with {BASE_SQL}, q as (select *, row_number() over (partition by file_date order by flow_timestamp, row_id) - 1 position from b where flow_timestamp is not null),
+v as (select file_date, position, case when year(flow_timestamp) = 1970 then 'year_1970' when flow_timestamp::date != file_date then 'day_mismatch' when position < 63 then 'before_day_start' end problem from q where position >= 32 and (position - 32) % 8 = 0)
+select file_date, position AS "position", problem from v where problem is not null""",
     "endpoint_join": "select a.source_file, a.source_row, a.label, round(a.flow_iat_mean, 6) flow_iat_mean, z.src_ip, z.dst_ip from flows a join flows z using (source_file, source_row)",
     "causal_prefix_edges": f"with {PREFIX_SQL} select part, cutoff, \"row\", second AS \"second\", completion_us from m",
     "node_features": f"with {PREFIX_SQL}, {_NODES} select part, cutoff, node, {', '.join(f'round({c}, 6) {c}' for c in ('in_count', 'out_count', 'in_bytes', 'out_bytes', 'tcp', 'udp', 'low_src_port', 'low_dst_port'))} from f",
@@ -278,14 +283,17 @@ select "day", weak_components, strong_components from w join s using ("day")""",
     "history_coverage": f"""with {EDGES_SQL}, {_HIST}, {_COUNTS}, j as (select id, {', '.join(f'count(*) filter (history_id is not null and lag <= {k}) first_{k}' for k in (3, 7, 8))}, {', '.join(f'count(*) filter (kind = {i} and lag <= 7) kind_{i}' for i in (1, 2, 3))} from s group by 1),
 x as (select part, (status = 'malicious')::int y, k.*, j.* exclude (id) from e join k on k.id = e."row" join j on j.id = e."row")
 select part, y, count(*) n, {_COV} from x group by grouping sets ((part, y), (part))""",
-    "history_violations": "select 0::bigint id, 0 AS \"lag\", '' problem where false",
-    "history_sequence": f"""with {EDGES_SQL}, {_HIST} select e."row" id, (1 + count(z."row"))::int filled, round(any_value(e.bytes) + coalesce(sum(z.bytes), 0), 4) total from e left join s on s.id = e."row" left join e z on z."row" = s.history_id where e.part = 1 group by e."row" """,
+    "history_violations": f"""with {EDGES_SQL}, {_HIST}, w as (select id, (lag + (id % 50 = 0)::int)::int AS "lag", case when id % 70 = 1 then 1 else kind end kind, case when id % 110 = 2 then id else history_id end history_id from s where history_id is not null),
+v as (select w.id, w."lag", case when t1.part != t2.part then 'part' when t2.second // {SLOT} != t1.second // {SLOT} - w."lag" then 'slot' when t2.completion_us >= (t1.second // {SLOT} * {SLOT} + {OFFSET}) * 1000000 then 'completion'
+  when w.kind = 1 and (t1.src != t2.src or t1.dst != t2.dst) or w.kind = 2 and t1.src != t2.src or w.kind = 3 and t1.dst != t2.dst then 'entity' end problem from w join e t1 on t1."row" = w.id join e t2 on t2."row" = w.history_id)
+select id, "lag", problem from v where problem is not null""",
+    "history_sequence": f"""with {EDGES_SQL}, {_HIST} select e."row" id, (1 + count(z."row"))::int filled, round(any_value(e.bytes) + coalesce(sum(z.bytes), 0), 4) total from e left join s on s.id = e."row" left join e z on z."row" = s.history_id group by e."row" """,
     "quantile_cases": f"""with {SCORED_SQL}, z as (select *, (rf >= 0.6)::int rf_decision, (ae >= 60000)::int ae_decision from s), x as ({_CASES}), r as (select *, row_number() over (partition by category order by score, row_id) - 1 k, count(*) over (partition by category) n from x),
 c as (select *, abs(k - 0.1::double * (n - 1)) d1, abs(k - 0.5::double * (n - 1)) d5, abs(k - 0.9::double * (n - 1)) d9 from r),
 p1 as (select * from c qualify row_number() over (partition by category order by d1, k) = 1), p5 as (select c.* from c anti join p1 on p1.category = c.category and p1.k = c.k qualify row_number() over (partition by category order by d5, k) = 1),
 p9 as (select c.* from c anti join (select * from p1 union all select * from p5) u on u.category = c.category and u.k = c.k qualify row_number() over (partition by category order by d9, k) = 1)
 select category, 'SELECTED' status, n available, q AS quantile, score, row_id from (select *, 0.1::double q from p1 union all select *, 0.5 from p5 union all select *, 0.9 from p9)
 union all select v.category, 'EMPTY', 0, null, null, null from (values {', '.join(f"('{n}')" for n in CATEGORIES)}) v(category) where v.category not in (select category from x)""",
-    "quota_sample_counts": f"""with {SCORED_SQL}, c as (select family, count(*) n from s where y = 1 group by 1), t as (select sum(n) a from c), q as (select family, (least(500, a) * n) // a q, (least(500, a) * n) % a r from c cross join t),
-k as (select *, row_number() over (order by r desc, family) i, (select least(500, a) from t) - (select sum(q) from q) rest from q) select family, (q + (i <= rest)::int)::bigint n from k where q + (i <= rest)::int > 0""",
+    "quota_sample": f"""with {SCORED_SQL}, c as (select family, count(*) n from s where y = 1 group by 1), t as (select sum(n) a from c), q as (select family, (least(500, a) * n) // a q, (least(500, a) * n) % a r from c cross join t),
+k as (select *, row_number() over (order by r desc, family) i, (select least(500, a) from t) - (select sum(q) from q) rest from q) select family, row_id from (select s.family, s.row_id, row_number() over (partition by s.family order by md5('42-' || s.row_id), s.row_id) j, q + (i <= rest)::int most from s join k using (family) where s.y = 1) where j <= most""",
 }

@@ -112,13 +112,20 @@ def elapsed_candidates(spark, d):
 
 
 def duplicate_links(spark, d):
+    """Planted: some duplicates name themselves, or a row that was removed, as the one retained."""
     rows = classified(spark, d)
-    return verify.duplicate_links(cleaning.audit_events(rows, []), rows.where("reason is null or reason not in ('repeated_header', 'exact_duplicate')"))
+    kept = F.when(F.col("source_row") % 3 == 0, F.col("source_row")).when(F.col("source_row") % 3 == 1, F.col("retained_source_row") - 1).otherwise(F.col("retained_source_row"))
+    events = cleaning.audit_events(rows, []).withColumn("retained_source_row", kept)
+    return verify.duplicate_links(events, rows.where("reason is null or reason not in ('repeated_header', 'exact_duplicate')"))
 
 
 def cleaned_rule_violations(spark, d):
+    """Planted: some dates, times and targets are changed before the check."""
     spec = cleaning.CleaningSpec([], ["protocol"], label="label")
-    return verify.cleaned_rules(cleaning.cleaned(classified(spark, d), spec, F.col("flow_timestamp"), F.col("file_date")))
+    clean = cleaning.cleaned(classified(spark, d), spec, F.col("flow_timestamp"), F.col("file_date"))
+    row = F.col("source_row")
+    wrong = clean.withColumns({"file_date": F.when(row % 90 == 0, F.date_add("file_date", 1)).otherwise(F.col("file_date")), "timestamp": F.when(row % 120 != 1, F.col("timestamp")), "target_binary": F.when(row % 150 == 2, (1 - F.col("target_binary")).cast("tinyint")).otherwise(F.col("target_binary"))})
+    return verify.cleaned_rules(wrong)
 
 
 QUERIES = {f.__name__: f for f in (cleaning_events, cleaned_rows, quarantined_rows, stage_counts, cleaning_reconciliation, account_for_every_row, date_split_candidates, chronological_partition, partition_coverage, unseen_labels, split_membership, train_fit_stats, mode_and_vocab, target_encoding_check, transform_apply, imputation_counts, elapsed_candidates, duplicate_links, cleaned_rule_violations)}
@@ -148,8 +155,11 @@ SQL = {
   from (select epoch_us(min(ts)) a, epoch_us(max(ts)) b from events))) group by part"""
         for a, z in ((0.8, 0.9), (0.7, 0.85), (0.6, 0.8))
     ),
-    "duplicate_links": "select '' source_file, 0::bigint source_row, 0::bigint retained_source_row where false",
-    "cleaned_rule_violations": "select '' source_file, 0::bigint source_row, '' AS \"rule\" where false",
+    "duplicate_links": f"""with {CLASSIFIED_SQL}, l as (select source_file, source_row, case source_row % 3 when 0 then source_row when 1 then retained_source_row - 1 else retained_source_row end kept from c where reason = 'exact_duplicate')
+select source_file, source_row, kept retained_source_row from l where kept >= source_row or not exists (select 1 from c k where k.source_file = l.source_file and k.source_row = l.kept and (k.reason is null or k.reason not in ('repeated_header', 'exact_duplicate')))""",
+    "cleaned_rule_violations": f"""with {CLASSIFIED_SQL}, k as (select source_file, source_row, label, (case when source_row % 90 = 0 then file_date + 1 else file_date end)::date fd, case when source_row % 120 != 1 then flow_timestamp end ts,
+  case when source_row % 150 = 2 then 1 - (coalesce(label, '') != 'Benign')::int else (coalesce(label, '') != 'Benign')::int end y from c where reason is null)
+select source_file, source_row, 'target' AS "rule" from k where y != (coalesce(label, '') != 'Benign')::int union all select source_file, source_row, 'time' from k where ts is null or year(ts) = 1970 union all select source_file, source_row, 'date' from k where ts::date is distinct from fd""",
     "cleaning_events": f"with {CLASSIFIED_SQL} select source_file, source_row, label, reason, case when {_QUARANTINE} then 'retain_in_non_temporal_quarantine' else 'remove' end disposition, retained_source_row from c where reason is not null",
     "cleaned_rows": f"with {CLASSIFIED_SQL} select round(totlen_fwd_pkts, 6) totlen_fwd_pkts, round(flow_iat_mean, 6) flow_iat_mean, protocol, source_file, source_row, flow_timestamp \"timestamp\", file_date, label attack_label, (coalesce(label, '') != 'Benign')::tinyint target_binary from c where reason is null",
     "quarantined_rows": f"with {CLASSIFIED_SQL} select totlen_fwd_pkts, protocol, source_file, source_row, flow_timestamp \"timestamp\", file_date, label attack_label, (coalesce(label, '') != 'Benign')::tinyint target_binary from c where {_QUARANTINE}",
@@ -177,7 +187,7 @@ c as (select column_name, v, count(*) n from v where v is not null group by all)
     "target_encoding_check": "select * from (values ('copied', 'one_to_one_attack_class_encoding'), ('code', 'one_to_one_binary_target_encoding')) t(column_name, reason)",
     "transform_apply": f"""with {BASE_SQL}, {_TRAIN}, {_FIT}, w as (select {', '.join(f"any_value(mean) filter (column_name = '{c}') m_{c}, any_value(case when sd = 0 then 1 else sd end) filter (column_name = '{c}') s_{c}" for c in NUMERIC)} from s),
 q as (select protocol from r where split = 'train' and protocol is not null group by 1 order by count(*) desc, protocol limit 1)
-select row_id, {', '.join(f'round((coalesce({c}, m_{c}) - m_{c}) / s_{c}, 4) {c}' for c in NUMERIC)}, {', '.join(f'''(coalesce(protocol, (select protocol from q)) = '{p}')::int::double "protocol={p}"''' for p in ('0', '17', '6'))} from r cross join w where split = 'test'""",
+select row_id, {', '.join(f'round((coalesce({c}, m_{c}) - m_{c}) / s_{c}, 4) {c}' for c in NUMERIC)}, {', '.join(f'''(coalesce(protocol, (select protocol from q)) = '{p}')::int::double "protocol={p}"''' for p in ('0', '17', '6'))} from r cross join w""",
     "imputation_counts": f"""with {BASE_SQL}, {_TRAIN} select split, count(*) n, sum({' + '.join(f'({c} is null)::int' for c in NUMERIC)})::bigint imputed_cells,
   count(*) filter (protocol is not null and protocol not in (select protocol from r where split = 'train' and protocol is not null)) unknown_protocol from r group by 1""",
 }
