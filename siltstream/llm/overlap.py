@@ -2,14 +2,17 @@
 
 Records agree in most of their fields if they agree in a whole block of them: with the fields cut into one more
 block than may differ, some block agrees in full. Evaluation and training records are therefore joined on the
-hash of each canonicalised block, and joined pairs are verified field by field. A block value that too many
-records share is refined by the blocks of the other fields, again without losing a pair, so that frequent
-values make no crowd of candidates.
+hash of each canonicalised block, and joined pairs are verified field by field. Equal records are one class, so that
+copies are compared once. Where a block value would join too many pairs, the fields not yet agreed on, which can't
+hold more differences than before, are cut into as many parts again, and so on until few pairs are left or so many
+fields agree that every pair counts. No pair is lost, and frequent values make no crowd of candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstream.functions.text import category, number, trimmed
@@ -49,25 +52,49 @@ def canonical_fields(flows: DataFrame) -> DataFrame:
     return flows.withColumns({f: form(f) for f in FIELDS})
 
 
-def _hash(level: int, *path: int) -> Column:
-    """Hash of the fields of a block, or of a block and a further block of the other fields; null if any is null."""
-    names = list(BLOCKS[path[0]])
-    if level:
-        names += refined(path[0])[path[1]]
+#: Fields of many values, which are spread over the parts of a refinement first.
+VARIED = ["flow_duration", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "totlen_fwd_pkts", "totlen_bwd_pkts", "src_port"]
+
+
+def _mask(names: list[str]) -> int:
+    return sum(1 << FIELDS.index(f) for f in names)
+
+
+def refined(mask: int) -> list[int]:
+    """The masks of the fields that may agree next where those of mask do: one part more than fields may differ. Empty if
+    the agreeing fields are enough."""
+    parts: list[int] = [0] * (len(FIELDS) - AGREE + 1)
+    others = [f for f in [*VARIED, *[f for f in FIELDS if f not in VARIED]] if not mask & _mask([f])]
+    if len(others) < len(parts):
+        return []
+    for i, f in enumerate(others):
+        parts[i % len(parts)] |= _mask([f])
+    return [mask | p for p in parts]
+
+
+def _refinements(spark: SparkSession) -> DataFrame:
+    """(mask, next): every mask that refining the blocks reaches, with its refinements; some hundred rows, fixed by FIELDS."""
+    todo, rows = [_mask(b) for b in BLOCKS], {}
+    while todo:
+        mask = todo.pop()
+        if mask not in rows:
+            rows[mask] = refined(mask)
+            todo += rows[mask]
+    return F.broadcast(spark.createDataFrame(list(rows.items()), "mask int, next array<int>"))
+
+
+def _block_key(block: int) -> Column:
+    names = BLOCKS[block]
     whole = F.lit(True)
     for n in names:
         whole = whole & F.col(n).isNotNull()
-    return F.when(whole, F.xxhash64(F.lit(level), *map(F.lit, path), *[F.col(n) for n in names]))
+    return F.when(whole, F.xxhash64(F.lit(block), *[F.col(n) for n in names]))
 
 
-def refined(block: int) -> list[list[str]]:
-    """The fields outside a block in as many parts as there are blocks, fields of many values spread over them."""
-    others = [f for b in range(len(BLOCKS)) if b != block for f in BLOCKS[b]]
-    parts: list[list[str]] = [[] for _ in BLOCKS]
-    many = [f for f in ("flow_duration", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "totlen_fwd_pkts", "totlen_bwd_pkts", "src_port") if f in others]
-    for i, f in enumerate(many + [f for f in others if f not in many]):
-        parts[i % len(parts)].append(f)
-    return parts
+def _mask_key() -> Column:
+    """Hash of the fields that a row's mask names, from the hashes of the single fields."""
+    named = F.transform("hashes", lambda x, i: F.when(F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1, x))
+    return F.xxhash64("mask", named)
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -76,34 +103,68 @@ def _shared(keys: DataFrame) -> DataFrame:
     return counts.where("e > 0 and t > 0").select("key", (F.col("e") * F.col("t")).alias("pairs"))
 
 
-def _joined(keys: DataFrame) -> DataFrame:
-    evaluation = keys.where("is_eval").select("key", F.col("row_id").alias("e"))
-    training = keys.where("not is_eval").select("key", F.col("row_id").alias("t"))
+def _joined(keys: DataFrame, member: str) -> DataFrame:
+    evaluation = keys.where("is_eval").select("key", F.col(member).alias("e"))
+    training = keys.where("not is_eval").select("key", F.col(member).alias("t"))
     return training.join(evaluation, "key").select("e", "t")
 
 
-def candidates(records: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(e, t): each evaluation and training row_id that agree in a whole block; no pair that qualifies is missing."""
-    blocks = F.array(*[F.struct(F.lit(b).alias("block"), _hash(0, b).alias("key")) for b in range(len(BLOCKS))])
+@dataclass
+class Candidates:
+    """records: (row_id, is_eval, split, source_file, class, fields) of all that share a block; classes: (class, is_eval,
+    fields, hashes, known, n); pairs: (e, t) of classes."""
+
+    records: DataFrame
+    classes: DataFrame
+    pairs: DataFrame
+
+
+def _classed(records: DataFrame) -> DataFrame:
+    # two hashes of the whole record name its class; null fields are told from values
+    whole = [c for f in FIELDS for c in (F.col(f).isNull(), F.col(f))]
+    return records.withColumn("class", F.struct(F.xxhash64("is_eval", *whole).alias("a"), F.xxhash64(F.lit(1), "is_eval", *reversed(whole)).alias("b")))
+
+
+def class_pairs(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(e, t) of the classes that may agree, those of crowded block values by repeated refinement.
+
+    Only classes whose block value is shared take part; at every step a class stands in as many keys as there are parts,
+    and only in keys that still join more than ``crowd`` pairs it goes on."""
+    spark = classes.sparkSession
+    masks = F.explode(F.array(*[F.lit(_mask(b)) for b in BLOCKS])).alias("mask")
+    now = classes.select("class", "is_eval", "hashes", "known", masks)
+    made = None
+    while True:
+        now = now.where(F.col("known").bitwiseAND(F.col("mask")) == F.col("mask")).withColumn("key", _mask_key())
+        now = materialise(now, "keyed-classes")
+        shared = materialise(_shared(now), "shared-class-keys")
+        marked = now.join(sized(shared), "key").join(_refinements(spark), "mask")
+        loud = (F.col("pairs") > crowd) & (F.size("next") > 0)
+        quiet = _joined(marked.where(~loud), "class")
+        made = quiet if made is None else made.unionByName(quiet)
+        now = marked.where(loud).select("class", "is_eval", "hashes", "known", F.explode("next").alias("mask"))
+        if shared.where(F.col("pairs") > crowd).isEmpty():
+            return made
+
+
+def candidates(records: DataFrame, audit: DataFrame, crowd: int = CROWD) -> Candidates:
+    """Every evaluation and training record that agree in a whole block, as pairs of classes; no pair that qualifies is
+    missing."""
+    blocks = F.array(*[F.struct(_block_key(b).alias("key")) for b in range(len(BLOCKS))])
     first = records.select("row_id", "is_eval", F.inline(blocks)).where("key is not null")
     # few keys are on both sides; the rows of all others stay where they are
     shared = materialise(_shared(first), "shared-keys")
-    quiet = _joined(first.join(sized(shared.where(F.col("pairs") <= crowd).select("key")), "key", "left_semi"))
-    crowded = shared.where(F.col("pairs") > crowd).select("key")
-    if crowded.isEmpty():
-        return quiet.distinct()
-    # only the rows of a crowded block value, with that block's further keys
-    further = F.array(
-        *[
-            F.struct(_hash(0, b).alias("key"), F.when(_hash(0, b).isNotNull(), _hash(1, b, s)).alias("next"))
-            for b in range(len(BLOCKS))
-            for s in range(len(BLOCKS))
-        ]
-    )
-    loud = records.select("row_id", "is_eval", F.inline(further)).where("key is not null and next is not null")
-    loud = loud.join(sized(crowded), "key", "left_semi").select("row_id", "is_eval", F.col("next").alias("key"))
-    loud = loud.join(sized(materialise(_shared(loud), "shared-keys").select("key")), "key", "left_semi")
-    return quiet.unionByName(_joined(loud)).distinct()
+    ids = materialise(first.join(sized(shared.select("key")), "key", "left_semi").select("row_id").distinct(), "candidate-ids")
+    # the audit is held against the few candidates, not against all of flows
+    known = _classed(eligible(records.join(sized(ids), "row_id", "left_semi"), audit))
+    known = materialise(known.select("row_id", "is_eval", "split", "source_file", "class", *FIELDS), "candidate-records")
+    one = known.groupBy("class").agg(F.first("is_eval").alias("is_eval"), F.count(F.lit(1)).alias("n"), *[F.first(f).alias(f) for f in FIELDS])
+    single = F.array(*[F.when(F.col(f).isNotNull(), F.xxhash64(F.lit(i), f)) for i, f in enumerate(FIELDS)])
+    present = F.lit(0)
+    for i, f in enumerate(FIELDS):
+        present = present + F.when(F.col(f).isNotNull(), 1 << i).otherwise(0)
+    classes = materialise(one.withColumns({"hashes": single, "known": present}), "candidate-classes")
+    return Candidates(known, classes, materialise(class_pairs(classes, crowd).distinct(), "candidate-pairs"))
 
 
 def _agreeing() -> Column:
@@ -114,20 +175,27 @@ def _agreeing() -> Column:
     return total
 
 
+def _found(flows: DataFrame, audit: DataFrame, crowd: int) -> tuple[Candidates, DataFrame]:
+    """The candidates, and (e, t, agree, n_e, n_t) of the pairs of classes that agree in at least AGREE fields."""
+    split = F.lower(trimmed(F.col("split")))
+    records = flows.withColumn("split", split).where(split.isin("train", "validation", "test"))
+    records = canonical_fields(records.select("row_id", "source_file", "source_row", "split", *FIELDS)).withColumn("is_eval", F.col("split") != "train")
+    found = candidates(records, audit, crowd)
+    side = sized(found.classes.select("class", "n", *FIELDS))
+    both = found.pairs.join(side.alias("a"), F.col("e") == F.col("a.class")).join(side.alias("b"), F.col("t") == F.col("b.class"))
+    agreed = both.withColumn("agree", _agreeing()).where(F.col("agree") >= AGREE)
+    return found, agreed.select("e", "t", "agree", F.col("a.n").alias("n_e"), F.col("b.n").alias("n_t"))
+
+
 def overlaps(flows: DataFrame, audit: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(e, t, agree, split, source_file, train_file): every eligible validation or test record e and eligible train
     record t that agree in at least AGREE fields. Null agrees with nothing. Splits compare trimmed, ignoring case;
     rows of another or no split are left out. Copies all count. Empty in, empty out."""
-    split = F.lower(trimmed(F.col("split")))
-    records = flows.withColumn("split", split).where(split.isin("train", "validation", "test"))
-    records = canonical_fields(records.select("row_id", "source_file", "source_row", "split", *FIELDS)).withColumn("is_eval", F.col("split") != "train")
-    pairs = materialise(candidates(records, crowd), "candidates")
-    ids = pairs.select(F.col("e").alias("row_id")).union(pairs.select("t")).distinct()
-    # the audit is held against the few candidates, not against all of flows
-    known = eligible(records.join(sized(ids), "row_id", "left_semi"), audit)
-    known = sized(materialise(known, "candidate-records"))
-    both = pairs.join(known.alias("a"), F.col("e") == F.col("a.row_id")).join(known.alias("b"), F.col("t") == F.col("b.row_id"))
-    return both.withColumn("agree", _agreeing()).where(F.col("agree") >= AGREE).select("e", "t", "agree", F.col("a.split").alias("split"), F.col("a.source_file").alias("source_file"), F.col("b.source_file").alias("train_file"))
+    found, agreed = _found(flows, audit, crowd)
+    evaluation = found.records.where("is_eval").select(F.col("class").alias("e"), F.col("row_id").alias("e_id"), "split", "source_file")
+    training = found.records.where("not is_eval").select(F.col("class").alias("t"), F.col("row_id").alias("t_id"), F.col("source_file").alias("train_file"))
+    rows = agreed.join(evaluation, "e").join(training, "t")
+    return rows.select(F.col("e_id").alias("e"), F.col("t_id").alias("t"), "agree", "split", "source_file", "train_file")
 
 
 def overlap_pairs(flows: DataFrame, audit: DataFrame) -> DataFrame:
@@ -136,12 +204,16 @@ def overlap_pairs(flows: DataFrame, audit: DataFrame) -> DataFrame:
     return found.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b"))
 
 
-def overlap_report(flows: DataFrame, audit: DataFrame) -> DataFrame:
+def overlap_report(flows: DataFrame, audit: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Per split and source_file of the evaluation records: pairs, pairs that agree in all fields, evaluation and
-    training records involved."""
-    return overlaps(flows, audit).groupBy("split", "source_file").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count(F.when(F.col("agree") == len(FIELDS), 1)).alias("n_exact_pairs"),
-        F.count_distinct("e").alias("n_eval_records"),
-        F.count_distinct("t").alias("n_train_records"),
-    )
+    training records involved. Counted from classes; no copies are expanded into pairs."""
+    found, agreed = _found(flows, audit, crowd)
+    key = ["split", "source_file"]
+    members = found.records.where("is_eval").groupBy(F.col("class").alias("e"), *key).agg(F.count(F.lit(1)).alias("m"))
+    placed = materialise(agreed.join(members, "e"), "class-overlaps")
+    pairs = placed.groupBy(*key).agg(F.sum(F.col("m") * F.col("n_t")).alias("n_pairs"), F.sum(F.when(F.col("agree") == len(FIELDS), F.col("m") * F.col("n_t")).otherwise(0)).alias("n_exact_pairs"))
+    once = lambda c, n: placed.select(*key, c, n).distinct().groupBy(*key).agg(F.sum(n).alias("k"))
+    # null files are a group too
+    named = lambda df, name: df.select(F.struct(*key).alias("k_"), F.col("k").alias(name))
+    whole = pairs.withColumn("k_", F.struct(*key)).join(named(once("e", "m"), "n_eval_records"), "k_").join(named(once("t", "n_t"), "n_train_records"), "k_")
+    return whole.select(*key, "n_pairs", "n_exact_pairs", "n_eval_records", "n_train_records")

@@ -69,9 +69,38 @@ def test_all_pairs_and_no_other(spark, crowd):
 def test_blocks_leave_no_gap():
     assert sorted(f for b in O.BLOCKS for f in b) == sorted(O.FIELDS)
     assert len(O.BLOCKS) == len(O.FIELDS) - O.AGREE + 1
-    for b in range(len(O.BLOCKS)):
-        parts = O.refined(b)
-        assert len(parts) == len(O.BLOCKS) and sorted(f for p in parts for f in p) == sorted(set(O.FIELDS) - set(O.BLOCKS[b]))
+    todo, seen = [O._mask(b) for b in O.BLOCKS], set()
+    while todo:
+        mask = todo.pop()
+        parts = [p & ~mask for p in O.refined(mask)]
+        # the parts share no field and leave none out; without parts every pair counts
+        assert sum(parts) == (1 << 15) - 1 - mask if parts else mask.bit_count() >= O.AGREE
+        assert len(parts) in (0, 4) and all(parts)
+        todo += [mask | p for p in parts if mask | p not in seen]
+        seen |= {mask | p for p in parts}
+
+
+def test_constant_fields_make_no_crowd_of_candidates(spark):
+    # idle flows: six fields never differ, the others nearly always do
+    constant = {"tot_fwd_pkts": 0, "tot_bwd_pkts": 0, "totlen_fwd_pkts": 0.0, "totlen_bwd_pkts": 0.0, "dst_ip": "x", "protocol": "6", "label": "benign"}
+    sizes = []
+    for n in (500, 2_000):
+        rows = [record(i, "train" if i % 2 else "test", [constant.get(f, f"{i}" if f in ("src_ip", "dst_ip", "protocol", "flow_duration", "flow_byts_s", "flow_pkts_s", "label") else float(i) if f == "flow_iat_mean" else i) for f in O.FIELDS]) for i in range(n)]
+        rows.append(record(n, "test", list(rows[1][4:19])))
+        made, agreed = O._found(spark.createDataFrame(rows, FLOWS), spark.createDataFrame([], AUDIT), 100)
+        sizes.append(made.pairs.count())
+        assert [r.agree for r in agreed.collect()] == [15]
+    assert sizes[1] <= 4 * sizes[0] + 10 and sizes[1] < 2_000
+
+
+def test_copies_are_compared_once(spark):
+    values = ["a", "b", 1, 2, "6", "1", 1, 1, 1.0, 1.0, "1", "1", 1.0, 1, "x"]
+    rows = [record(i, "train" if i % 2 else "test", values) for i in range(600)]
+    flows, audit = spark.createDataFrame(rows, FLOWS), spark.createDataFrame([], AUDIT)
+    made, _ = O._found(flows, audit, 1_000)
+    assert made.pairs.count() == 1 and made.classes.count() == 2
+    assert [tuple(r) for r in O.overlap_report(flows, audit).collect()] == [("test", "f", 90_000, 90_000, 300, 300)]
+    assert O.overlap_pairs(flows, audit).distinct().count() == 90_000
 
 
 def test_report_and_empty(spark):
