@@ -9,7 +9,9 @@ the exact Kolmogorov-Smirnov distance.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ QUANTILES = [0.01, 0.25, 0.5, 0.75, 0.99]
 
 def token_counts(flows: DataFrame, columns: list[str]) -> DataFrame:
     """Per load (source_file) and text measure: rows and the count of each class of token, numbers below 0 and
-    above the duration limit, least and greatest number. One aggregation, no unpivot. Empty in, empty out."""
-    typed = flows.select("source_file", *[f for c in columns for f in (token_class(F.col(c)).alias(f"{c}.k"), number(F.col(c)).alias(f"{c}.v"))])
+    above the duration limit, least and greatest number; with the file's first day where there is a file_date. One
+    aggregation, no unpivot. Empty in, empty out."""
+    others = [F.min("file_date").alias("day")] if "file_date" in flows.columns else []
+    typed = flows.select("source_file", *[F.col("file_date") for _ in others], *[f for c in columns for f in (token_class(F.col(c)).alias(f"{c}.k"), number(F.col(c)).alias(f"{c}.v"))])
     made = []
     for c in columns:
         kind, value = F.col(f"`{c}.k`"), F.col(f"`{c}.v`")
@@ -48,7 +52,7 @@ def token_counts(flows: DataFrame, columns: list[str]) -> DataFrame:
                 F.max(value).alias("greatest"),
             ).alias(c)
         )
-    return typed.groupBy("source_file").agg(*made).select("source_file", F.inline(F.array(*[f"`{c}`" for c in columns])))
+    return typed.groupBy("source_file").agg(*made, *others).select("source_file", *[c for c in ("day",) if others], F.inline(F.array(*[f"`{c}`" for c in columns])))
 
 
 def _running(kind: pa.DataType):
@@ -105,6 +109,8 @@ def quantiles(ordered: DataFrame, parts: DataFrame, shares: list[float]) -> Data
     if dict(ordered.dtypes)["v"] == "string":
         return found.groupBy("gid", "q").agg(F.min("v").alias("value"))
     share = F.max("at") - F.floor(F.max("at"))
+    if dict(ordered.dtypes)["v"] == "bigint":  # as text, so that whole numbers beyond 2^53 stay whole
+        return found.groupBy("gid", "q").agg(F.when(share == 0, F.min("v").cast("string")).otherwise((F.min("v") + (F.max("v") - F.min("v")) * share).cast("string")).alias("value"))
     return found.groupBy("gid", "q").agg((F.min("v") + (F.max("v") - F.min("v")) * share).alias("value"))
 
 
@@ -123,14 +129,18 @@ def group_names(flows: DataFrame, columns: list[str]) -> DataFrame:
     return named.withColumn("gid", F.when(met, F.raise_error(F.lit("two groups share a hash"))).otherwise(F.col("gid")))
 
 
-def measure_profile(flows: DataFrame, columns: list[str] = MEASURES, shares: list[float] = QUANTILES) -> DataFrame:
-    """token_counts with n_distinct and the exact quantiles q<percent> of the numbers, per source_file and text
-    measure. A group without numbers has 0 distinct values and null quantiles."""
+def _measures(flows: DataFrame, columns: list[str] = MEASURES, shares: list[float] = QUANTILES) -> DataFrame:
     counts = token_counts(flows, columns)
     ordered = range_sorted(_groups(flows, columns, lambda c: number(F.col(c))))
     return _with_order(counts.withColumn("gid", F.xxhash64("source_file", "column_name")), ordered, shares)
 
 
+def measure_profile(flows: DataFrame, columns: list[str] = MEASURES, shares: list[float] = QUANTILES) -> DataFrame:
+    """token_counts with n_distinct and the exact quantiles q<percent> of the numbers, per source_file and text
+    measure. A group without numbers has 0 distinct values and null quantiles."""
+    return _measures(flows, columns, shares).drop("day")
+
+
 def _with_order(counts: DataFrame, ordered: DataFrame, shares: list[float]) -> DataFrame:
     parts = segments(ordered)
     distinct = parts.groupBy("gid").agg(F.sum("d").alias("n_distinct"))
@@ -142,7 +152,10 @@ def _with_order(counts: DataFrame, ordered: DataFrame, shares: list[float]) -> D
 
 def file_sites(flows: DataFrame) -> DataFrame:
     """(source_file, earlier): the file of the same site for the day before, by the date and the site in the name."""
-    files = flows.groupBy("source_file").agg(F.min("file_date").alias("day"))
+    return _earlier(flows.groupBy("source_file").agg(F.min("file_date").alias("day")))
+
+
+def _earlier(files: DataFrame) -> DataFrame:
     files = files.withColumn("site", F.regexp_extract("source_file", r"(site[0-9]+)", 1))
     earlier = files.select("site", F.date_add("day", 1).alias("day"), F.col("source_file").alias("earlier"))
     return files.join(earlier, ["site", "day"], "left").select("source_file", "earlier")
@@ -152,13 +165,14 @@ def doubtful(flows: DataFrame, report: DataFrame, columns: list[str] = MEASURES)
     """(source_file, column_name, finding) for the text measures: nan_values and infinite_values where the report
     counts otherwise (a null count is another, an absent report row none), pattern, value_range, and against the
     same site's file of the day before null_rate and shift. A repeated report row counts once."""
-    profile = measure_profile(flows, columns, [0.5])
+    # one row per file and measure, compared with itself
+    profile = materialise(_measures(flows, columns, [0.5]), "profile")
     said = report.where("report_scope = 'column'").select(F.col("filename").alias("source_file"), "column_name", F.struct("nan_values", "infinite_values").alias("said"))
     said = said.groupBy("source_file", "column_name").agg(F.collect_set("said").alias("said"))
     absent = (F.col("n_missing") + F.col("n_null_marker")).alias("n_absent")
     now = profile.withColumn("n_absent", absent)
     before = now.select(F.col("source_file").alias("earlier"), "column_name", F.col("n_rows").alias("b_rows"), F.col("n_absent").alias("b_absent"), F.col("q50").alias("b_median"))
-    both = now.join(said, ["source_file", "column_name"], "left").join(file_sites(flows), "source_file", "left").join(before, ["earlier", "column_name"], "left")
+    both = now.join(said, ["source_file", "column_name"], "left").join(_earlier(now.groupBy("source_file").agg(F.first("day").alias("day"))), "source_file", "left").join(before, ["earlier", "column_name"], "left")
     other = lambda name, count: F.exists("said", lambda x: ~x[name].eqNullSafe(F.col(count)))
     above = (F.col("column_name") == "flow_duration") & (F.col("n_above_limit") > 0)
     # whole-number form of a/n - b/m >= 0.05
@@ -177,22 +191,28 @@ def doubtful(flows: DataFrame, report: DataFrame, columns: list[str] = MEASURES)
     return both.select("source_file", "column_name", F.explode(found).alias("finding"))
 
 
-def _kinds(flows: DataFrame) -> tuple[dict[str, str], list[str], list[str]]:
-    """Type names of the columns, and the columns that are ordered as numbers and as text."""
+WHOLE = ("byte", "short", "integer", "long", "date", "timestamp", "timestamp_ntz")
+
+
+def _kinds(flows: DataFrame) -> tuple[dict[str, str], list[str], list[str], list[str]]:
+    """Type names of the columns, and those that are ordered as whole numbers, as reals and as text."""
     kinds = {f.name: f.dataType.typeName() for f in flows.schema.fields}
     texts = [c for c, k in kinds.items() if k in ("string", "boolean", "binary") and c != "source_file" and c not in MEASURES]
-    numbers = [c for c, k in kinds.items() if k in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz") or k.startswith("decimal")] + [c for c in MEASURES if kinds.get(c) == "string"]
-    return kinds, numbers, texts
+    reals = [c for c, k in kinds.items() if k in ("float", "double") or k.startswith("decimal")] + [c for c in MEASURES if kinds.get(c) == "string"]
+    return kinds, [c for c, k in kinds.items() if k in WHOLE], reals, texts
 
 
-def _real(kinds: dict[str, str], c: str) -> Column:
-    if c in MEASURES and kinds[c] == "string":
-        return number(F.col(c))
+def _whole(kinds: dict[str, str], c: str) -> Column:
+    """Whole numbers as they are, days and microseconds of times."""
     if kinds[c] == "date":
-        return F.unix_date(F.col(c)).cast("double")
+        return F.unix_date(F.col(c)).cast("bigint")
     if kinds[c].startswith("timestamp"):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    return F.col(c).cast("double")
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    return F.col(c).cast("bigint")
+
+
+def _real(kinds: dict[str, str], c: str) -> Column:
+    return number(F.col(c)) if c in MEASURES and kinds[c] == "string" else F.col(c).cast("double")
 
 
 def _text(c: str) -> Column:
@@ -210,7 +230,7 @@ def column_profile(flows: DataFrame) -> DataFrame:
     categories) by code units, both given as text. Quartiles of numbers are linear between ranks, else the lower rank.
     A column that is all null has 0 distinct values and null quantiles; nested columns are left out.
     """
-    kinds, numbers, texts = _kinds(flows)
+    kinds, wholes, reals, texts = _kinds(flows)
 
     def profile(columns: list[str], pick) -> DataFrame:
         classed = [c for c in columns if kinds[c] in ("string", "float", "double")]
@@ -227,7 +247,8 @@ def column_profile(flows: DataFrame) -> DataFrame:
         full = _with_order(counts.withColumn("gid", F.xxhash64("source_file", "column_name")), ordered, [0.0, 0.25, 0.5, 0.75, 1.0])
         return full.select("source_file", "column_name", "n_rows", "n_null", *TOKENS, "n_distinct", *[F.col(a).cast("string").alias(b) for a, b in (("q00", "least"), ("q25", "q25"), ("q50", "q50"), ("q75", "q75"), ("q100", "greatest"))])
 
-    return profile(numbers, lambda c: _real(kinds, c)).unionByName(profile(texts, _text))
+    made = [profile(columns, pick) for columns, pick in ((wholes, lambda c: _whole(kinds, c)), (reals, lambda c: _real(kinds, c)), (texts, _text)) if columns]
+    return functools.reduce(DataFrame.unionByName, made)
 
 
 def _curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +275,7 @@ def _curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if group is not None:
         out.append((pid, int(group), c, p, high, low))
     cols = list(zip(*out)) or [[]] * 6
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.int64()) for x in cols[1:4]], *[pa.array([float(y) for y in x], pa.float64()) for x in cols[4:]]], ["pid", "gid", "c", "p", "high", "low"])
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.int64()) for x in cols[1:4]], *[pa.array([Decimal(y) for y in x], pa.decimal128(38, 0)) for x in cols[4:]]], ["pid", "gid", "c", "p", "high", "low"])
 
 
 def load_distances(flows: DataFrame) -> DataFrame:
@@ -263,14 +284,14 @@ def load_distances(flows: DataFrame) -> DataFrame:
 
     Numbers (finite ones) and times are ordered by value, text (after the comparison rule of categories) by code units.
     """
-    kinds, numbers, texts = _kinds(flows)
+    kinds, wholes, reals, texts = _kinds(flows)
 
     def finite(c: str) -> Column:
         x = _real(kinds, c)
         return F.when(F.abs(x) < float("inf"), x + F.lit(0.0))
 
-    made = [_distances(flows, columns, pick) for columns, pick in ((numbers, finite), (texts, _text)) if columns]
-    return made[0].unionByName(made[1]) if len(made) > 1 else made[0]
+    made = [_distances(flows, columns, pick) for columns, pick in ((wholes, lambda c: _whole(kinds, c)), (reals, finite), (texts, _text)) if columns]
+    return functools.reduce(DataFrame.unionByName, made)
 
 
 def _distances(flows: DataFrame, columns: list[str], pick) -> DataFrame:
@@ -285,11 +306,13 @@ def _distances(flows: DataFrame, columns: list[str], pick) -> DataFrame:
     curve = counted.withColumnRenamed("gid", "from_gid").join(sized(roles), "from_gid").select("gid", "v", "tc", "tp", (F.col("n") * F.col("is_now")).alias("c"), (F.col("n") * (1 - F.col("is_now"))).alias("p"))
     curve = curve.groupBy("gid", "v").agg(F.sum("c").alias("c"), F.sum("p").alias("p"), F.first("tc").alias("tc"), F.first("tp").alias("tp"))
     ordered = curve.repartitionByRange(shuffle_partitions(flows.sparkSession), "gid", "v").sortWithinPartitions("gid", "v").withColumn("pid", F.spark_partition_id())
-    parts = materialise(ordered.mapInArrow(_curve, "pid int, gid bigint, c bigint, p bigint, high double, low double"), "curves")
+    parts = materialise(ordered.mapInArrow(_curve, "pid int, gid bigint, c bigint, p bigint, high decimal(38,0), low decimal(38,0)"), "curves")
     parts = parts.join(sides.select("gid", "tc", "tp"), "gid")
     before = Window.partitionBy("gid").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("c").over(before), F.lit(0)) * F.col("tp") - F.coalesce(F.sum("p").over(before), F.lit(0)) * F.col("tc")
+    many = lambda c: c.cast("decimal(18,0)")
+    # products of counts, exact beyond 2^63
+    start = (many(F.coalesce(F.sum("c").over(before), F.lit(0))) * many(F.col("tp")) - many(F.coalesce(F.sum("p").over(before), F.lit(0))) * many(F.col("tc"))).cast("decimal(38,0)")
     most = F.greatest(F.abs(F.col("start") + F.col("high")), F.abs(F.col("start") + F.col("low")))
     peak = parts.withColumn("start", start).groupBy("gid").agg(F.max(most).alias("most"))
-    ks = F.when((F.col("tc") > 0) & (F.col("tp") > 0), F.coalesce("most", F.lit(0.0)) / (F.col("tc").cast("double") * F.col("tp")))
+    ks = F.when((F.col("tc") > 0) & (F.col("tp") > 0), F.coalesce(F.col("most").cast("double"), F.lit(0.0)) / (F.col("tc").cast("double") * F.col("tp")))
     return sides.join(peak, "gid", "left").select("source_file", "column_name", "earlier", F.col("tc").alias("n"), F.col("tp").alias("n_earlier"), ks.alias("ks"))
