@@ -9,14 +9,16 @@ few weights, which are broadcast to score all documents.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the feature hash; at most 2**BITS weights are broadcast, 8 bytes each.
@@ -44,7 +46,6 @@ _REPEAT = re.compile(r"(.)\1+")
 # Signs that stand for letters in disguised words.
 _LETTERS = str.maketrans("0134578@$!", "oieastbasi")
 _SHIFTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_known: dict[str, int] = {}
 
 
 def plain_word(token: str) -> str:
@@ -57,15 +58,45 @@ def plain_word(token: str) -> str:
     return _REPEAT.sub(r"\1", token)
 
 
-def _word_hash(token: str) -> int:
-    found = _known.get(token)
-    if found is None:
+class _Hashes(dict):
+    """The hash of each word's plain form, remembered."""
+
+    def __missing__(self, token: str) -> int:
         import xxhash
 
-        if len(_known) > 400_000:
-            _known.clear()
-        found = _known[token] = xxhash.xxh64_intdigest(plain_word(token).encode())
-    return found
+        if len(self) > 400_000:
+            self.clear()
+        found = self[token] = xxhash.xxh64_intdigest(plain_word(token).encode())
+        return found
+
+
+_known = _Hashes()
+#: ASCII characters as a for letters, space for the signs that set letters apart, # for all else; and all but letters and
+#: digits as spaces.
+_KINDS = str.maketrans({chr(k): "a" if chr(k).isalpha() else " " if chr(k) in " .-_*" else "#" for k in range(128)})
+_GAPS = str.maketrans({chr(k): " " for k in range(128) if not chr(k).isalnum()})
+_SPACES = "\t\r\f\v\x1c\x1d\x1e\x1f"
+
+
+def _may_be_spaced(text: str) -> bool:
+    """Whether an ASCII text may hold letters set apart; only a text that does is looked at closely."""
+    kinds = text.translate(_KINDS)
+    return " a a " in kinds or " a a#" in kinds or kinds.endswith(" a a")
+
+
+def _parts(text: str) -> list[str]:
+    """A lower-case text cut at the ends of sentences and lines."""
+    if text.isascii() and not any(c in text for c in _SPACES):
+        for end in ".!?;":
+            text = text.replace(f"{end} ", f"{end}\n")
+        return text.split("\n")
+    return _SENTENCE.split(text)
+
+
+def _tokens(part: str) -> list[str]:
+    if part.isascii() and not ("*" in part or "@" in part or "$" in part or "!" in part[:-1]):
+        return part.translate(_GAPS).split()
+    return _TOKEN.findall(part)
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -74,13 +105,16 @@ def sentences(text: str | None) -> list[list[str]]:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).replace("​", "")
+    text = text.lower()
+    if text.isascii() and not _may_be_spaced(text):
+        return [t for t in map(_tokens, _parts(text)) if t]
     made = []
-    for part in _SENTENCE.split(text.lower()):
+    for part in _parts(text):
         joined = _SPACED.sub(lambda m: _GAP.sub("", m[0]), part)
         # a first letter that is a word of its own may not belong to the word set apart
         other = _SPACED.sub(lambda m: m[0][0] + " " + _GAP.sub("", m[0][1:]) if m[0][0] in "ai" else _GAP.sub("", m[0]), part) if joined != part else joined
         for form in {joined: 0, other: 0}:
-            tokens = _TOKEN.findall(form)
+            tokens = _tokens(form)
             if tokens:
                 made.append(tokens)
     return made
@@ -91,7 +125,7 @@ def features(docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.nd
     flat = [s for d in docs for s in d]
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     sizes = np.array([len(s) for s in flat], dtype=np.int64)
-    h = np.fromiter((_word_hash(w) for s in flat for w in s), dtype=np.uint64, count=int(sizes.sum()))
+    h = np.fromiter(map(_known.__getitem__, itertools.chain.from_iterable(flat)), dtype=np.uint64, count=int(sizes.sum()))
     at = np.repeat(np.arange(len(flat)), sizes)
     made, where = [h * _SHIFTS[0]], [at]
     for steps in ((1,), (1, 2), (2,), (3,)):
@@ -131,7 +165,12 @@ class Ftrl:
         return self.weights(np.arange(1 << BITS)).astype(np.float32)
 
 
-def _learnt(examples: list[np.ndarray], positive: np.ndarray, negative: np.ndarray, rng: np.random.Generator) -> Ftrl:
+#: One fit: the weights of every example for and against, and the seed of the order they are learnt in.
+Job = tuple[np.ndarray, np.ndarray, list[int]]
+
+
+def _learnt(examples: list[np.ndarray], positive: np.ndarray, negative: np.ndarray, seed: list[int]) -> Ftrl:
+    rng = np.random.default_rng(seed)
     # half the log odds: the full prior would leave nothing to learn from ordinary sentences
     model = Ftrl(0.5 * math.log((positive.sum() + 1) / (negative.sum() + 2)))
     scale = np.minimum(1.0, MOST_WEIGHT / np.maximum(positive + negative, 1e-9))
@@ -143,12 +182,47 @@ def _learnt(examples: list[np.ndarray], positive: np.ndarray, negative: np.ndarr
     return model
 
 
-def fit(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def _here(examples: list[np.ndarray], jobs: list[Job]) -> list[tuple[np.ndarray, float]]:
+    models = [_learnt(examples, *job) for job in jobs]
+    return [(m.dense(), m.bias) for m in models]
+
+
+def on_cluster(spark: SparkSession):
+    """Fits as tasks, one each. What goes out are the examples, bounded by the reviewed documents, and their weights."""
+
+    def fits(examples: list[np.ndarray], jobs: list[Job]) -> list[tuple[np.ndarray, float]]:
+        sizes = np.array([len(x) for x in examples], dtype=np.int64)
+        sent = spark.sparkContext.broadcast((np.concatenate(examples) if len(examples) else np.zeros(0, np.int32), sizes, jobs))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flat, lengths, wanted = sent.value
+            own = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    model = _learnt(own, *wanted[k])
+                    w = model.dense()
+                    kept = np.flatnonzero(w).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([kept], pa.list_(pa.int32())), pa.array([w[kept]], pa.list_(pa.float32())), pa.array([model.bias])], ["id", "kept", "weight", "bias"])
+
+        got = spark.range(len(jobs), numPartitions=len(jobs)).mapInArrow(run, "id bigint, kept array<int>, weight array<float>, bias double").toArrow().sort_by("id").to_pylist()
+        made = []
+        for row in got:
+            dense = np.zeros(1 << BITS, dtype=np.float32)
+            dense[np.array(row["kept"], dtype=np.int64)] = row["weight"]
+            made.append((dense, row["bias"]))
+        sent.destroy()
+        return made
+
+    return fits
+
+
+def fit(docs: list[list[np.ndarray]], labels: np.ndarray, fits=_here) -> tuple[np.ndarray, float]:
     """Weights and bias from documents, each the features of its sentences, and their verdicts.
 
     Equal sentences are one example. How far each sentence of a document answers for the verdict is estimated
     in turn with the model: each fold of documents by the model of the other folds, with a share of verdicts
-    taken to be wrong, so that a sentence found in one misjudged document only convinces nobody.
+    taken to be wrong, so that a sentence found in one misjudged document only convinces nobody. The folds of a round
+    don't need each other; fits decides where they are fitted.
     """
     index: dict[bytes, int] = {}
     examples: list[np.ndarray] = []
@@ -179,11 +253,11 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, f
         # what an abusive document holds beside may be abusive too, so only clean ones are examples against
         return tuple(np.bincount(sentence[keep], weights=w[keep], minlength=size) for w in (blame, np.where(y[doc], 0.0, 1 - blame)))
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         evidence = np.zeros(len(sentence))
-        for f in range(FOLDS):
-            model = _learnt(examples, *weighed(fold[doc] != f), rng)
-            z = np.bincount(at, weights=model.dense()[flat], minlength=size)
+        models = fits(examples, [(*weighed(fold[doc] != f), [SEED, turn, f]) for f in range(FOLDS)])
+        for f, (dense, _) in enumerate(models):
+            z = np.bincount(at, weights=dense[flat], minlength=size)
             own = fold[doc] == f
             evidence[own] = z[sentence[own]]
         best = np.full(len(held), -30.0)
@@ -196,8 +270,7 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, f
         share /= np.bincount(doc, weights=share, minlength=len(held))[doc]
         # of two abusive sentences both answer in full
         blame = np.where(y[doc] & (evidence > CERTAIN), real, share * real)
-    model = _learnt(examples, *weighed(np.ones(len(sentence), dtype=bool)), rng)
-    return model.dense(), model.bias
+    return fits(examples, [(*weighed(np.ones(len(sentence), dtype=bool)), [SEED, ROUNDS, 0])])[0]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +310,25 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_REVIEWED) ->
     if y.all() or not y.any():
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 5.0 if len(y) and y.all() else -5.0
     docs = [[np.unique(np.asarray(s.as_py() if hasattr(s, "as_py") else s, dtype=np.int32)) for s in d.values] if d.is_valid else [] for d in got["x"]]
-    w, bias = fit(docs, y)
+    w, bias = fit(docs, y, on_cluster(documents.sparkSession))
     kept = np.flatnonzero(w).astype(np.int32)
     return kept, w[kept], bias
 
 
+def save_model(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float], path: str) -> None:
+    """(feature, weight) rows and, under feature -1, the bias, as Parquet; refuses to overwrite."""
+    kept, values, bias = model
+    rows = pa.table({"feature": pa.array(np.r_[kept, -1], pa.int32()), "weight": pa.array(np.r_[values.astype(float), bias])})
+    spark.createDataFrame(rows).coalesce(1).write.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """What save_model wrote; at most 2**BITS rows."""
+    rows = spark.read.parquet(path).toArrow().sort_by("feature")
+    feature, weight = rows["feature"].to_numpy(), rows["weight"].to_numpy()
+    return feature[1:], weight[1:].astype(np.float32), float(weight[0])
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, values, bias = model.value
@@ -251,7 +338,7 @@ def _score(model):
             docs = [sentences(t.as_py()) for t in batch.column("text")]
             x, at, owner = features(docs)
             # each feature once per sentence, as in fitting
-            once = np.unique((at << np.int64(BITS)) | x)
+            once = pd.unique((at << np.int64(BITS)) | x)
             at, x = once >> np.int64(BITS), once & np.int64((1 << BITS) - 1)
             z = np.bincount(at, weights=dense[x], minlength=len(owner)) + bias
             most = np.full(len(docs), bias if len(kept) == 0 else -30.0)
@@ -262,11 +349,16 @@ def _score(model):
     return run
 
 
+def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """(doc_id, source, score) by a fitted model."""
+    known = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.select("doc_id", "source", "text").mapInArrow(_score(known), "doc_id bigint, source string, score double")
+
+
 def scores(documents: DataFrame, labels: DataFrame, most: int = MAX_REVIEWED) -> DataFrame:
     """(doc_id, source, score): the probability of a document's most abusive sentence. Null and empty texts score
     0, or the bias alone where nothing could be fitted. Copies score alike."""
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, most))
-    return documents.select("doc_id", "source", "text").mapInArrow(_score(model), "doc_id bigint, source string, score double")
+    return scored(documents, train(documents, labels, most))
 
 
 def abusive_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -80,3 +80,24 @@ def test_l1_drops_what_is_rare():
     model.learn(np.array([7], dtype=np.int32), 1.0, 0.2)
     w = model.weights(np.array([1, 2, 7, 9]))
     assert w[0] > 0 and w[1] > 0 and w[2] == w[3] == 0
+
+
+def test_short_cuts_for_plain_text_change_no_token():
+    rng = random.Random(1)
+    pieces = ["a", "b", "I", " ", " ", ".", ". ", "! ", "*", "@", "$", "!", "-", "_", "\n", "1", ";", "x y z", "s.t.u", "  "]
+    for _ in range(3_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        # a sign outside ASCII that is no part of any word takes the long way
+        assert A.sentences(text) == A.sentences(text + "\n…"), text
+
+
+def test_folds_on_the_cluster_equal_those_here(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    docs = [[np.unique(rng.integers(0, 40, 5).astype(np.int32)) for _ in range(rng.integers(1, 4))] for _ in range(60)]
+    y = np.array([any(3 in x for x in d) for d in docs])
+    here, there = A.fit(docs, y), A.fit(docs, y, A.on_cluster(spark))
+    assert np.array_equal(here[0], there[0]) and here[1] == there[1] and np.count_nonzero(here[0])
+    kept = np.flatnonzero(here[0]).astype(np.int32)
+    A.save_model(spark, (kept, here[0][kept], here[1]), str(tmp_path / "model"))
+    again = A.load_model(spark, str(tmp_path / "model"))
+    assert np.array_equal(again[0], kept) and np.array_equal(again[1], here[0][kept]) and again[2] == here[1]
