@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from siltstream.llm import packing as P
 
@@ -60,3 +63,15 @@ def test_scores_equal_brute_force():
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert P.pack(empty).count() == 0 and P.oversized(empty).count() == 0 and P.fill_report(empty).first().n_containers == 0
+
+
+def test_near_items_share_a_shard(spark):
+    rng = random.Random(4)
+    themes = [w.split() for w in ("apple pear cherry plum grape lemon orange banana", "river lake ocean pond stream harbour island coast", "violin piano drum flute guitar trumpet organ harp", "king queen duke baron prince knight emperor bishop")]
+    rows = [(i, " ".join(rng.choices(themes[i % 4], k=40)), "clash") for i in range(400)] + [(1000, "", ""), (1001, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard string")
+    got = P.neighbour_recall(docs, shard_items=101, neighbours=5).agg(F.count(F.lit(1)).alias("n"), F.avg("n_found").alias("k")).first()
+    # by chance a quarter of five
+    assert got.n == 8 and got.k > 4
+    packed = P.pack(docs, shard_items=101).collect()
+    assert len(packed) == 402 and len({(r.doc_id, r.piece) for r in packed}) == 402
