@@ -11,6 +11,7 @@ nearest of several. Containers that a shard's end leaves part empty are packed o
 from __future__ import annotations
 
 import base64
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,7 +85,7 @@ class Index:
         owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         term, tf = (np.concatenate(x) if len(x) else np.zeros(0, np.int32) for x in (terms, counts))
         order = np.argsort(term, kind="stable")
-        self.owner = owner[order].astype(np.int32)
+        self.owner = owner[order]
         df = frequency[term[order]]
         idf = np.log1p((documents - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths[self.owner] / max(mean_length, 1.0))
@@ -92,36 +93,55 @@ class Index:
         self.weight = idf * tf * (K1 + 1) / (tf + norm)
         self.start = np.searchsorted(term[order], np.arange(len(frequency) + 1))
 
+    def of(self, items: np.ndarray) -> Index:
+        """The same index over some of its items only, numbered anew in their order. Weights stay."""
+        number = np.full(len(self.terms), -1, dtype=np.int64)
+        number[items] = np.arange(len(items))
+        keep = number[self.owner] >= 0
+        made = copy.copy(self)
+        made.start = np.r_[0, np.cumsum(keep)][self.start]
+        made.owner, made.weight, made.terms = number[self.owner[keep]], self.weight[keep], [self.terms[k] for k in items]
+        return made
+
     def scores(self, item: int) -> np.ndarray:
         """The score of every item for all distinct terms of one."""
         return self.scores_of(self.terms[item])
 
     def scores_of(self, terms: np.ndarray) -> np.ndarray:
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in terms]
-        at = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-        return np.bincount(self.owner[at], weights=self.weight[at], minlength=len(self.terms))
+        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist()) if a < b]
+        if not spans:
+            return np.zeros(len(self.terms))
+        return np.bincount(np.concatenate([self.owner[x] for x in spans]), weights=np.concatenate([self.weight[x] for x in spans]), minlength=len(self.terms))
 
 
 def pack_shard(lengths: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     """Items per container; every item is in one. Ties go to the earlier item."""
     unused = np.ones(len(lengths), dtype=bool)
-    by_length = np.argsort(lengths, kind="stable")
+    # the items of the index in use, those unused when it was made
+    rows, place = np.arange(len(lengths)), np.arange(len(lengths))
+    left = len(lengths)
     containers = []
-    for seed in by_length[::-1]:
+    for seed in np.argsort(lengths, kind="stable")[::-1]:
         if not unused[seed]:
             continue
+        if 2 * left <= len(rows):
+            kept = np.flatnonzero(unused[rows])
+            rows, index = rows[kept], index.of(kept)
+            place[rows] = np.arange(len(rows))
         unused[seed] = False
         held, free = [int(seed)], capacity - int(lengths[seed])
         scores = None
         while True:
-            fits = unused & (lengths <= free)
-            if not fits.any():
+            near = rows[unused[rows] & (lengths[rows] <= free)]
+            if not len(near):
                 break
-            if scores is None:
-                scores = index.scores(seed)
-            if free > LAST_SPACE * capacity:
-                near = np.flatnonzero(fits)
-                for item in near[np.argsort(-scores[near], kind="stable")]:
+            whole = free > LAST_SPACE * capacity
+            if not whole:
+                near = near[lengths[near] == lengths[near].max()]
+            if scores is None and len(near) > 1:
+                scores = index.scores_of(index.terms[place[seed]])
+            if whole:
+                for item in near[np.argsort(-scores[place[near]], kind="stable")] if len(near) > 1 else near:
                     if free <= LAST_SPACE * capacity:
                         break
                     if lengths[item] <= free:
@@ -129,12 +149,11 @@ def pack_shard(lengths: np.ndarray, index: Index, capacity: int) -> list[list[in
                         unused[item] = False
                         free -= int(lengths[item])
             else:
-                rest = np.flatnonzero(fits)
-                longest = rest[lengths[rest] == lengths[rest].max()]
-                item = int(longest[np.argmax(scores[longest])])
+                item = int(near[np.argmax(scores[place[near]])] if len(near) > 1 else near[0])
                 held.append(item)
                 unused[item] = False
                 free -= int(lengths[item])
+        left -= len(held)
         containers.append(held)
     return containers
 
