@@ -178,7 +178,7 @@ def version_routes(fields: DataFrame, files: DataFrame) -> DataFrame:
     """(feed, version, target_version, field, position, name, target_name, rules), one row per version and field of its feed.
 
     target_name is where the chained renames lead: the field's name in the newest version that has it, at or after
-    this one (for a field that only comes before, its last). position, name and rules are null where the route gives the default."""
+    this one (for a field that only comes before, its last). position, that in the version's first file, name and rules are null where the route gives the default."""
     heads = files.where("is_new").select("feed", "version", "source_file")
     known = heads.join(fields.drop("feed", "file_seq"), "source_file").drop("source_file")
     named = known.groupBy("feed", "field").agg(F.max_by("name", "version").alias("last_name"))
@@ -231,8 +231,10 @@ def consistent_table(raw: DataFrame, classes: DataFrame) -> DataFrame:
     routes = version_routes(fields, files).where("position is not null")
     other = F.when(~F.col("field").isin(*ALIASES), F.struct("position", "field"))
     at = [F.max(F.when(F.col("field") == f, F.struct("position", "rules"))).alias(f"_{f}") for f in ALIASES]
-    wide = routes.groupBy("feed", "version").agg(F.array_sort(F.collect_list(other)).alias("_others"), *at)
-    routed = files.select("source_file", "feed", "version").join(wide, ["feed", "version"]).drop("feed")
+    # order is no change of version, so each file's own header says where its fields stand
+    own = fields.select("source_file", "field", "position").join(files.select("source_file", "feed", "version"), "source_file")
+    routed = own.join(routes.select("feed", "version", "field", "rules"), ["feed", "version", "field"])
+    routed = routed.groupBy("source_file").agg(F.array_sort(F.collect_list(other)).alias("_others"), *at)
     lines = sound.join(sized(materialise(routed, "routes"), 20_000), "source_file")
 
     def written(name: str) -> Column:

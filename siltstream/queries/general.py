@@ -59,7 +59,7 @@ def p6_column_profile(spark, d):
     ranks = ["least", "q25", "q50", "q75", "greatest"]
     # times in seconds
     unit = F.when(F.col("column_name").isin("flow_timestamp", "loaded_at"), 1e-6).otherwise(1.0)
-    as_number, as_text = [F.when(~text, F.round(F.col(c).try_cast("double") * unit, 4)).alias(c) for c in ranks], [F.when(text, F.col(c)).alias(f"{c}_text") for c in ranks]
+    as_number, as_text = [F.when(~text, F.round(F.col(c).try_cast("double") * unit, 6)).alias(c) for c in ranks], [F.when(text, F.col(c)).alias(f"{c}_text") for c in ranks]
     return rounded(made.select("source_file", "column_name", "n_rows", "n_null", *quality_profile.TOKENS, "n_distinct", *as_number, *as_text))
 
 
@@ -195,13 +195,13 @@ _PROFILED = " union all ".join(
     + [f"select source_file, '{c}', {c} is null, {TOKEN_SQL.format(c)}, case when {TOKEN_SQL.format(c)} similar to '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?' then ({TOKEN_SQL.format(c)})::double + 0.0 end, null, true from flows" for c in quality_profile.MEASURES]
     + [f"select source_file, '{c}', {c} is null, {TOKEN_SQL.format(c)}, null, {CATEGORY_SQL.format(c)}, false from flows" for c in ("split", "src_ip", "dst_ip", "protocol", "label")]
 )
-_QUARTILES = ", ".join(f"round(quantile_cont(x, {q}), 4) {c}, list_sort(list(t) filter (t is not null))[floor({q} * (count(t) - 1))::int + 1] {c}_text" for c, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+_QUARTILES = ", ".join(f"round(quantile_cont(x, {q}), 6) {c}, list_sort(list(t) filter (t is not null))[floor({q} * (count(t) - 1))::int + 1] {c}_text" for c, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
 
 SQL = {
     "p6_column_profile": f"""with r as ({_PROFILED}) select source_file, column_name, count(*) n_rows, count(*) filter (gone) n_null, count(*) filter (not gone and tok = '') n_blank,
   count(*) filter (tok in ('nan', '+nan', '-nan')) n_nan, count(*) filter (tok in ('null', 'none', 'na', 'n/a', '#n/a', '<na>')) n_null_marker, count(*) filter (regexp_full_match(tok, '[+-]?inf(inity)?')) n_infinite,
   count(*) filter (measured and not gone and x is null and tok not in ('', 'nan', '+nan', '-nan', 'null', 'none', 'na', 'n/a', '#n/a', '<na>') and not regexp_full_match(tok, '[+-]?inf(inity)?')) n_other,
-  count(distinct x) + count(distinct t) n_distinct, round(min(x), 4) least, min(t) least_text, {_QUARTILES}, round(max(x), 4) greatest, max(t) greatest_text from r group by all""",
+  count(distinct x) + count(distinct t) n_distinct, round(min(x), 6) least, min(t) least_text, {_QUARTILES}, round(max(x), 6) greatest, max(t) greatest_text from r group by all""",
     "p6_measure_profile": f"with {MEASURES_SQL} select * replace ({', '.join(f'round({c}, 6) as {c}' for c in ('least', 'greatest', 'q01', 'q25', 'q50', 'q75', 'q99'))}) from s",
     "p6_found": f"""with {MEASURES_SQL},
 j as (select s.*, b.n_rows b_rows, b.n_missing + b.n_null_marker b_absent, b.q50 b_median, s.n_missing + s.n_null_marker n_absent

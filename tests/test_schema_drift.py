@@ -90,3 +90,11 @@ def test_routes_chain_the_steps(spark):
     rows = {r.source_file: r for r in S.consistent_table(data, classes(spark)).where("source_line = 2").collect()}
     assert [rows[f].src_port for f, _ in files] == [80, 81, 82, 83]
     assert [rows[f].extra for f, _ in files] == ['{"vlan_tag":"7","ip_ttl":"64"}', '{"vlan_tag":"8"}', '{"vlan_tag":"9"}', '{"vlan_tag":"10","ip_ttl":"x"}']
+
+
+def test_a_new_order_is_no_new_version_but_read_in_its_own_order(spark):
+    files = [("f1", ["Label,Timestamp,Src Port,Zone", f"Benign,{TS},80,north"]), ("f2", ["Zone,Src Port,Timestamp,Label", f"south,81,{TS},Benign"])]
+    data = raw(spark, files)
+    assert {r.version for r in S.schema_versions(data, classes(spark)).collect()} == {1}
+    rows = {r.source_file: r for r in S.consistent_table(data, classes(spark)).collect()}
+    assert [(rows[f].src_port, rows[f].extra, rows[f].label) for f in ("f1", "f2")] == [(80, '{"zone":"north"}', "Benign"), (81, '{"zone":"south"}', "Benign")]
