@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.operators import cases, graph, history, sequences, verify
+from siltstream.plans import components
 from siltstream.queries import detectors, graphs
 from siltstream.queries.graphs import SLOT
 from siltstream.streaming import windows as live
@@ -75,6 +76,44 @@ def test_components_equal_brute_force(spark):
     assert graph.weak_components(df.limit(0), "g").count() == 0 and graph.strong_components(df.limit(0), "g").count() == 0
 
 
+@pytest.mark.parametrize("local", [500_000, 4])
+def test_components_of_groups_beyond_a_task(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", local)
+    monkeypatch.setattr(components, "AT_ONCE", 5)
+    rng = random.Random(local)
+    links = {(g, rng.randrange(12), rng.randrange(12)) for g in "ab" for _ in range(14)} | {("chain", i + 1, i) for i in range(9)} | {("ring", i, (i + 1) % 12) for i in range(12)} | {("loop", 3, 3), ("two", 0, 1), ("two", 1, 0)}
+    nodes = sorted({(g, n) for g, a, b in links for n in (a, b)})
+    reach = {x: {x} for x in nodes}
+    for _ in nodes:
+        for g, a, b in links:
+            reach[g, a] |= reach[g, b]
+    df = spark.createDataFrame([*sorted(links), (None, 1, 2), ("a", None, 1)], "g string, src bigint, dst bigint")
+    rows = graph.strong_components(df, "g").collect()
+    strong = {(r.g, r.node): r.component for r in rows}
+    assert sorted(strong) == nodes and len(rows) == len(nodes)
+    for x, y in itertools.combinations(nodes, 2):
+        if x[0] == y[0]:
+            assert (strong[x] == strong[y]) == (y in reach[x] and x in reach[y])
+    owner = {x: x[1] for x in nodes}
+    for _ in nodes:
+        for g, a, b in links:
+            owner[g, a] = owner[g, b] = min(owner[g, a], owner[g, b])
+    rows = graph.weak_components(df, "g").collect()
+    assert {(r.g, r.node): r.component for r in rows} == owner and len(rows) == len(nodes)
+    counts = {r.g: (r.weak_components, r.strong_components) for r in graph.component_counts(df, "g").collect()}
+    assert counts == {g: (len({owner[x] for x in nodes if x[0] == g}), len({strong[x] for x in nodes if x[0] == g})) for g in {x[0] for x in nodes}}
+
+
+def test_component_rounds_follow_size_not_structure(spark, monkeypatch):
+    """A path whose components came off one by one takes a bounded number of tables."""
+    written = []
+    keep = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    df = spark.createDataFrame([("d", i + 1, i) for i in range(60)], "g string, src bigint, dst bigint")
+    assert [tuple(r) for r in graph.component_counts(df, "g").collect()] == [("d", 1, 61)]
+    assert len(written) <= 2
+
+
 def test_topology_density(spark):
     r = graph.topology(edges(spark, [(1, 1, 0, 0, 1, 1), (2, 1, 0, 1, 2, 1), (3, 1, 0, 1, 3, 1), (70, 1, 5, 5, 4, 1)]), 60).orderBy("window").collect()
     assert (r[0].nodes, r[0].edges, r[0].unique_pairs, r[0].repeated_pairs, r[0].parallel_edges, r[0].density) == (2, 3, 2, 1, 1, 0.5)
