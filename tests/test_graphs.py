@@ -114,6 +114,14 @@ def test_component_rounds_follow_size_not_structure(spark, monkeypatch):
     assert len(written) <= 2
 
 
+def test_weak_components_of_a_long_path_write_one_table(spark, monkeypatch):
+    written = []
+    keep = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    df = spark.createDataFrame([("d", i + 1, i) for i in range(60)], "g string, src bigint, dst bigint")
+    assert {r.component for r in graph.weak_components(df, "g").collect()} == {0} and written == ["links"]
+
+
 def test_topology_density(spark):
     r = graph.topology(edges(spark, [(1, 1, 0, 0, 1, 1), (2, 1, 0, 1, 2, 1), (3, 1, 0, 1, 3, 1), (70, 1, 5, 5, 4, 1)]), 60).orderBy("window").collect()
     assert (r[0].nodes, r[0].edges, r[0].unique_pairs, r[0].repeated_pairs, r[0].parallel_edges, r[0].density) == (2, 3, 2, 1, 1, 0.5)
