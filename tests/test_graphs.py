@@ -338,3 +338,20 @@ def test_history_sequence_of_all_partitions(spark, monkeypatch):
     monkeypatch.setattr(graphs, "flow_edges", lambda *_: spark.createDataFrame(rows, EDGE))
     got = {r.id: (r.filled, r.total) for r in graphs.history_sequence(spark, "").collect()}
     assert got == {10 * p + k: (k + 1, k + 1.0) for p in range(3) for k in range(2)}
+
+
+def test_history_lookup_is_one_row_a_flow(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 2, s, s * 1_000_000 + rng.randrange(1_500_000_000), rng.randrange(3), rng.randrange(3), i) for i in range(80) for s in [rng.randrange(6_000)]]
+    df = spark.createDataFrame(rows, "id int, part int, second bigint, completion_us bigint, src int, dst int, row int")
+    made = history.history_lookup(df, 3, SLOT, 300)
+    got = {r.id: [(h.history_id, h.kind) for h in r.history] for r in made.collect()}
+    assert len(got) == len(rows)
+    for i, part, second, _, src, dst, _ in rows:
+        for lag in (1, 2, 3):
+            here = [r for r in rows if r[1] == part and r[2] // SLOT == second // SLOT - lag and r[3] < (second // SLOT * SLOT + 300) * 1_000_000]
+            want = (None, None)
+            for kind, same in ((3, lambda r: r[5] == dst), (2, lambda r: r[4] == src), (1, lambda r: r[4:6] == (src, dst))):
+                if found := [r for r in here if same(r)]:
+                    want = (max(found, key=lambda r: (r[3], r[6]))[0], kind)
+            assert got[i][lag - 1] == want
