@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstream.models import networks, supervised, training
-from siltstream.models.tensor import Tensor, logistic_loss
+from siltstream.models import networks, snapshots, supervised, training
+from siltstream.models.tensor import Tensor, logistic_loss, sum_by
 from siltstream.operators import graph
 
 rng = np.random.default_rng(0)
@@ -101,3 +102,24 @@ def test_supervised_checkpoints(spark):
     good = supervised.predicted(lr, data, ["y"]).agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
     assert good > 0.9
     assert supervised.by_seed(lambda s: rows.limit(1).select("id"), [1, 2]).count() == 2
+
+
+def test_snapshots_are_cut_from_columns():
+    rows = [
+        {"nodes": [{"node": "a", "f": [float(i)] * 8}, {"node": "b", "f": [9.0] * 8}, {"node": "c", "f": [7.0] * 8}], "edges": None if i == 1 else [{"row": 5, "src": "b", "dst": "a", "x": [1.0, i]}, {"row": 6, "src": "a", "dst": "a", "x": [2.0, i]}], "targets": [{"row": 10 + i, "src": "c", "dst": "b", "x": [3.0, i], "y": float(i % 2), "weight": 0.5}]}
+        for i in range(3)
+    ]
+    batch = pa.RecordBatch.from_pylist(rows).slice(1)
+    batch_rows = list(snapshots.unpacked(batch, 2))
+    assert len(batch_rows) == 2
+    for i, (s, t) in enumerate(batch_rows, 1):
+        assert s.hosts[:, 0].tolist() == [i, 9, 7] and s.pairs.tolist() == [[2], [1]] and s.pair_features.tolist() == [[3, i]]
+        assert s.links.tolist() == ([[], []] if i == 1 else [[1, 0], [0, 0]]) and s.link_features.tolist() == ([] if i == 1 else [[1, i], [2, i]])
+        assert (t.y.tolist(), t.weight.tolist(), t.row.tolist()) == ([i % 2], [0.5], [10 + i])
+
+
+def test_sums_by_owner():
+    owner, values = np.array([3, 0, 3, 3, 0]), rng.normal(size=(5, 2, 3))
+    want = np.zeros((5, 2, 3))
+    np.add.at(want, owner, values)
+    assert np.allclose(sum_by(values, owner, 5), want) and not sum_by(values[:0], owner[:0], 5).any()
