@@ -122,6 +122,22 @@ def test_weak_components_of_a_long_path_write_one_table(spark, monkeypatch):
     assert {r.component for r in graph.weak_components(df, "g").collect()} == {0} and written == ["links"]
 
 
+def test_weak_components_of_a_large_group_take_no_rounds(spark, monkeypatch):
+    """Pieces of a group beyond a task are labelled where they lie; labels don't go round by round through all links."""
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 100)
+    monkeypatch.setattr(components, "AT_ONCE", 40)
+    written = []
+    keep = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    path, star = [("path", i + 1, i) for i in range(300)], [("star", 1_000 + i, i % 3) for i in range(400)] + [("star", 5_000 + i, 7) for i in range(50)]
+    df = spark.createDataFrame(random.Random(3).sample(path + star, len(path + star)) + [("small", 9, 8)], "g string, src bigint, dst bigint")
+    rows = graph.weak_components(df, "g").collect()
+    want = {("path", i): 0 for i in range(301)} | {("small", 8): 8, ("small", 9): 8}
+    want |= {("star", n): x for _, a, x in star for n in (a, x)}
+    assert {(r.g, r.node): r.component for r in rows} == want and len(rows) == len(want)
+    assert sorted(written) == ["labels", "links", "links", "links", "pieces"]
+
+
 def test_topology_density(spark):
     r = graph.topology(edges(spark, [(1, 1, 0, 0, 1, 1), (2, 1, 0, 1, 2, 1), (3, 1, 0, 1, 3, 1), (70, 1, 5, 5, 4, 1)]), 60).orderBy("window").collect()
     assert (r[0].nodes, r[0].edges, r[0].unique_pairs, r[0].repeated_pairs, r[0].parallel_edges, r[0].density) == (2, 3, 2, 1, 1, 0.5)
